@@ -86,6 +86,17 @@ def word_counts(data: np.ndarray, off: np.ndarray, vocabulary: np.ndarray) -> tu
     return key // len(vocabulary), key % len(vocabulary), n, total
 
 
+def distinct_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words of each text: text numbers and hashes."""
+    h, first = word_hashes(data, off)
+    doc = np.repeat(np.arange(len(off) - 1), np.diff(first))
+    order = np.lexsort((h, doc))
+    h, doc = h[order], doc[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    return doc[new], h[new]
+
+
 def as_bytes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a list of texts; None is empty."""
     raw = [(t or "").encode() for t in texts]
