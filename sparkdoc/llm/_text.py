@@ -66,30 +66,36 @@ def words(data: np.ndarray, off: np.ndarray, member: np.ndarray = WORD) -> tuple
     return low, starts, ends, np.searchsorted(starts, off)
 
 
-def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """XXH64 of every word, and the words before each text."""
+def word_hashes(data: np.ndarray, off: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """XXH64 of every word and of the longer words' first ``prefixes`` bytes, the text of each, and the words in each text."""
     low, s, e, first = words(data, off)
-    return xxh64(low, s, e - s), first
-
-
-def word_counts(data: np.ndarray, off: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse counts of the words whose hashes are in the sorted vocabulary: text, column, count; and words a text."""
-    h, first = word_hashes(data, off)
-    total = np.diff(first)
+    n, doc = e - s, np.repeat(np.arange(len(off) - 1), np.diff(first))
+    found, of = [xxh64(low, s, n)], [doc]
+    for k in prefixes:
+        m = np.flatnonzero(n > k)
+        found.append(xxh64(low, s[m], np.full(len(m), k), seed=1000 + k))
+        of.append(doc[m])
+    return np.concatenate(found), np.concatenate(of), np.diff(first)
+
+
+def word_counts(data: np.ndarray, off: np.ndarray, vocabulary: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sparse counts of the words and prefixes whose hashes are in the sorted vocabulary: text, column, count; and words a text."""
+    h, doc, total = word_hashes(data, off, prefixes)
     if not len(vocabulary) or not len(h):
         none = np.zeros(0, np.int64)
         return none, none, none, total
-    at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-    hit = np.flatnonzero(vocabulary[at] == h)
-    doc = np.searchsorted(first, hit, side="right") - 1
-    key, n = np.unique(doc * len(vocabulary) + at[hit], return_counts=True)
+    maybe = np.zeros(1 << 16, bool)
+    maybe[(vocabulary & np.uint64(0xFFFF)).astype(np.int64)] = True
+    hit = np.flatnonzero(maybe[(h & np.uint64(0xFFFF)).astype(np.int64)])
+    at = np.minimum(np.searchsorted(vocabulary, h[hit]), len(vocabulary) - 1)
+    known = vocabulary[at] == h[hit]
+    key, n = np.unique(doc[hit[known]] * len(vocabulary) + at[known], return_counts=True)
     return key // len(vocabulary), key % len(vocabulary), n, total
 
 
-def distinct_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct words of each text: text numbers and hashes."""
-    h, first = word_hashes(data, off)
-    doc = np.repeat(np.arange(len(off) - 1), np.diff(first))
+def distinct_words(data: np.ndarray, off: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words and prefixes of each text: text numbers and hashes."""
+    h, doc, _ = word_hashes(data, off, prefixes)
     order = np.lexsort((h, doc))
     h, doc = h[order], doc[order]
     new = np.ones(len(h), bool)

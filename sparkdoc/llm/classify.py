@@ -16,7 +16,11 @@ from pyspark.sql import functions as F
 from sparkdoc.llm._text import as_bytes, distinct_words, word_counts
 
 #: Labelled rows that a classifier is trained on.
-SAMPLE = 4000
+SAMPLE = 8000
+
+
+#: G statistic below which a word tells nothing: about 1 in 2000 by chance.
+TELLING = 12.0
 
 
 def labelled(docs: DataFrame, labels: DataFrame, grade: Column, limit: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = ()) -> list:
@@ -52,11 +56,11 @@ class Sparse:
         return np.stack([np.bincount(self.col, self.val * g[self.row, k], columns) for k in range(g.shape[1])], axis=1)
 
 
-def screen(texts: list[str | None], y: np.ndarray, size: int, least: int = 5) -> np.ndarray:
+def screen(texts: list[str | None], y: np.ndarray, size: int, least: int = 5, prefixes: tuple[int, ...] = ()) -> np.ndarray:
     """Hashes of the ``size`` words that tell most about y by the G-test of presence, among those in at least ``least`` texts."""
     data, off = as_bytes(texts)
     classes, y = np.unique(y, return_inverse=True)
-    docs, hashes = distinct_words(data, off)
+    docs, hashes = distinct_words(data, off, prefixes)
     if not len(hashes):
         return np.zeros(0, np.uint64)
     vocabulary, col = np.unique(hashes, return_inverse=True)
@@ -70,15 +74,15 @@ def screen(texts: list[str | None], y: np.ndarray, size: int, least: int = 5) ->
         g += np.where(absent > 0, absent * np.log(absent / ((len(y) - df)[:, None] * share)), 0).sum(1)
     g[df < least] = -1
     best = np.lexsort((vocabulary, -g))[:size]
-    return np.sort(vocabulary[best[g[best] > 0]])
+    return np.sort(vocabulary[best[g[best] > TELLING]])
 
 
-def presence(texts: list[str | None], vocabulary: np.ndarray) -> Sparse:
-    row, col, n, _ = word_counts(*as_bytes(texts), vocabulary)
+def presence(texts: list[str | None], vocabulary: np.ndarray, prefixes: tuple[int, ...] = ()) -> Sparse:
+    row, col, n, _ = word_counts(*as_bytes(texts), vocabulary, prefixes)
     return Sparse(row, col, np.log2(1.0 + n), len(texts))
 
 
-def adam(parameters: np.ndarray, gradient: Callable[[np.ndarray], np.ndarray], steps: int = 300, rate: float = 0.05) -> np.ndarray:
+def adam(parameters: np.ndarray, gradient: Callable[[np.ndarray], np.ndarray], steps: int = 500, rate: float = 0.05) -> np.ndarray:
     """Minimise by full-batch Adam with a falling rate: deterministic."""
     x, m, v = parameters.copy(), np.zeros_like(parameters), np.zeros_like(parameters)
     for t in range(1, steps + 1):

@@ -4,11 +4,11 @@ Severity grades 0, 1, ..., K are ordered; one weight vector is shared by all thr
 P(grade > k) = sigmoid(x.w - t_k) with t_0 < t_1 < ... The output is the expected severity and the
 probability of any toxicity; a document at ``reject`` or above is toxic.
 
-The labelled table only says toxic or not, so its toxic rows are graded by how dense they are in words
-that a first two-grade fit finds toxic: grade 1 up to the median of those rows, grade 2 beyond it. A
-label table with an ordered grade column can be given as it is.
+The labelled table only says toxic or not, so its toxic rows are graded by how much they hold of the
+words that a first two-grade fit finds toxic: grade 1 up to the median of those rows, grade 2 beyond it.
+A label table with an ordered grade column can be given as it is.
 
-A word counts by the logarithm of its occurrences in the whole text. Null or empty texts have no words
+Words and their beginnings are features. Each counts by the logarithm of its occurrences in the whole text. Null or empty texts have no words
 and get what the thresholds alone say; with labels of one grade only, nothing is toxic. Null labels and
 null ids in the labels are left out; every input row gives one output row, null or repeated ids included.
 """
@@ -28,10 +28,12 @@ from sparkdoc.llm.classify import SAMPLE, adam, labelled, presence, screen, sigm
 
 #: Words kept by the screen.
 WORDS = 1024
+#: Lengths of the word beginnings, in bytes, that count as words of their own: one stem takes many endings.
+PREFIXES = (4, 5, 6)
 #: Probability of grade 1 or more from which a document is toxic.
-REJECT = 0.5
+REJECT = 0.3
 #: Weight of the squared weights in the loss, an example.
-RIDGE = 1e-4
+RIDGE = 1e-6
 
 
 @dataclass
@@ -45,7 +47,7 @@ class OrdinalModel:
         return sigmoid(score[:, None] - self.thresholds)
 
     def scores(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        row, col, n, _ = word_counts(data, off, self.vocabulary)
+        row, col, n, _ = word_counts(data, off, self.vocabulary, PREFIXES)
         return np.bincount(row, np.log2(1.0 + n) * self.weights[col], len(off) - 1) if len(row) else np.zeros(len(off) - 1)
 
 
@@ -78,18 +80,17 @@ def _fit(x, grade: np.ndarray, columns: int, ridge: float) -> tuple[np.ndarray,
 
 
 def fit(texts: list[str | None], grade: np.ndarray, words: int = WORDS, ridge: float = RIDGE, split: bool = False) -> OrdinalModel:
-    """Fit on graded texts; with ``split``, grades are 0 and 1 and grade 1 is parted at its median toxic density."""
+    """Fit on graded texts; with ``split``, grades are 0 and 1 and grade 1 is parted at its median toxic evidence."""
     grade = np.asarray(grade, np.int64)
     if not len(grade) or grade.max() < 1 or grade.min() > 0:
         return OrdinalModel(np.zeros(0, np.uint64), np.zeros(0), np.array([30.0]))
-    vocabulary = screen(texts, grade > 0, words)
-    x = presence(texts, vocabulary)
+    vocabulary = screen(texts, grade > 0, words, prefixes=PREFIXES)
+    x = presence(texts, vocabulary, PREFIXES)
     w, t = _fit(x, np.minimum(grade, 1) if split else grade, len(vocabulary), ridge)
     if split:
         toxic = grade > 0
-        length = np.array([len((s or "").split()) for s in texts])
-        density = x.dot(np.maximum(w, 0)) / np.maximum(length, 1)
-        graded = np.where(toxic, 1 + (density > np.median(density[toxic])), 0)
+        evidence = x.dot(np.maximum(w, 0))
+        graded = np.where(toxic, 1 + (evidence > np.median(evidence[toxic])), 0)
         if graded.max() == 2:
             w, t = _fit(x, graded, len(vocabulary), ridge)
     return OrdinalModel(vocabulary, w, t)
