@@ -118,6 +118,16 @@ def map_texts(
     return source.mapInArrow(run, schema)
 
 
+def carry(df: DataFrame) -> dict[str, str]:
+    """All columns, as ``keep`` of ``map_texts``, under names that clash with none."""
+    return {f"__c{i}": c for i, c in enumerate(df.columns)}
+
+
+def restore(mapped: DataFrame, df: DataFrame) -> DataFrame:
+    """The carried columns under their own names."""
+    return mapped.select(*[F.col(k).alias(c) for k, c in carry(df).items()])
+
+
 def _arrow_type(t: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 

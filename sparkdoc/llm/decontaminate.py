@@ -19,6 +19,7 @@ or repeated doc_id keep one output row per input row. Empty tables on either sid
 from __future__ import annotations
 
 import hashlib
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkdoc.llm._spark import map_texts
+from sparkdoc.llm._spark import carry, map_texts, restore
 from sparkdoc.llm._text import as_bytes, words, xxh64
 
 WINDOW, GRAM = 8, 5
@@ -186,28 +187,29 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int
 _FOUND = [("n_words", T.LongType()), ("spans", T.ArrayType(T.ArrayType(T.LongType()))), ("items", T.ArrayType(T.StringType()))]
 
 
-def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document: doc_id, n_words, spans (word ranges hit, end exclusive, disjoint, in order), items (ids as strings, sorted).
+def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES, keep: dict[str, str] | None = None) -> DataFrame:
+    """One row per document: doc_id, kept columns, n_words, spans (word ranges hit, end exclusive, disjoint, in order), items (ids as strings, sorted).
 
     With several benchmark blocks, ``docs`` must give the same rows in the same files each time it is read (a stored table does).
     """
-    parts = []
-    for items in _blocks(benchmark, item_col, item_text_col, block_bytes):
-        parts.append(map_texts(docs, text_col, {"doc_id": id_col}, _FOUND, _kernel(items)))
-    if len(parts) == 1:
-        return parts[0]
+    keep = keep or {}
+    first, *others = itertools.islice(_blocks(benchmark, item_col, item_text_col, block_bytes), 2)
+    if not others:
+        return map_texts(docs, text_col, {"doc_id": id_col, **keep}, _FOUND, _kernel(first))
     source = docs.withColumn("__row", F.monotonically_increasing_id())
     merged = None
     for items in _blocks(benchmark, item_col, item_text_col, block_bytes):
         part = map_texts(source, text_col, {"doc_id": id_col, "row": "__row"}, _FOUND, _kernel(items))
         merged = part if merged is None else merged.unionByName(part)
-    rows = merged.groupBy("row", "doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    rows = merged.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     join = F.aggregate(
         "spans",
         F.expr("cast(array() as array<array<bigint>>)"),
         lambda got, x: F.when((F.size(got) > 0) & (x[0] <= F.element_at(got, -1)[1]), F.concat(F.slice(got, 1, F.size(got) - 1), F.array(F.array(F.element_at(got, -1)[0], F.greatest(F.element_at(got, -1)[1], x[1]))))).otherwise(F.concat(got, F.array(x))),
     )
-    return rows.select("doc_id", "n_words", join.alias("spans"), "items")
+    if keep:  # the columns meet their rows again only here, where several passes were needed
+        rows = rows.join(source.select(F.col("__row").alias("row"), *[source[c].alias(k) for k, c in keep.items()]), "row")
+    return rows.select("doc_id", *keep, "n_words", join.alias("spans"), "items")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, min_items: int = 2, **names) -> DataFrame:
@@ -220,3 +222,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_items: int = 2, **n
 
 def empty_digest() -> str:
     return hashlib.sha256(b"").hexdigest()
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_items: int = 2, **names) -> DataFrame:
+    """``docs`` without those in which at least ``min_items`` items occur."""
+    found = find(docs, benchmark, keep=carry(docs), **names)
+    return restore(found.where(F.size("items") < min_items), docs)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkdoc.llm import decontaminate, secrets, simhash, toxicity
+from sparkdoc.llm import decontaminate, mixing, secrets, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,12 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of all documents that bring the languages to their target weights."""
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix(docs, docs, table(spark, sf_dir, "labels"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash near-duplicates over all documents."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -34,7 +40,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_secrets, op5_decontaminate, op8_simhash, op10_toxicity)}
+    return {f.__name__: f for f in (op4_secrets, op5_decontaminate, op7_mixing, op8_simhash, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

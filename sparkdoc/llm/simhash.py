@@ -226,10 +226,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "n_near", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+#: Ids that are broadcast to drop their rows (a long each); more are dropped by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def keep_one(docs: DataFrame, radius: int = RADIUS, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """``docs`` with one document of each component: that of the smallest doc_id.
 
     Rows with a null id can't be told apart and stay; of repeated rows of the kept id all stay.
     """
-    drop = near_duplicates(docs, radius=radius).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    scratch = Scratch(docs.sparkSession)
+    drop = scratch.keep(near_duplicates(docs, radius=radius).where(~F.col("kept")).select("doc_id").distinct(), "drop")
+    small = drop.count() <= broadcast_ids
+    return docs.join(F.broadcast(drop) if small else drop, "doc_id", "left_anti").select(*docs.columns)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkdoc.llm._spark import map_texts
+from sparkdoc.llm._spark import carry, map_texts, restore
 from sparkdoc.llm._text import word_counts
 from sparkdoc.llm.classify import SAMPLE, adam, labelled, presence, screen, sigmoid
 
@@ -96,8 +96,8 @@ def fit(texts: list[str | None], grade: np.ndarray, words: int = WORDS, ridge: f
     return OrdinalModel(vocabulary, w, t)
 
 
-def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", reject: float = REJECT) -> DataFrame:
-    """One row per document: doc_id, p_toxic, expected_severity, grade (the likeliest), toxic."""
+def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", reject: float = REJECT, keep: dict[str, str] | None = None) -> DataFrame:
+    """One row per document: doc_id, kept columns, p_toxic, expected_severity, grade (the likeliest), toxic."""
 
     def kernel():
         def apply(data: np.ndarray, off: np.ndarray) -> list:
@@ -108,7 +108,7 @@ def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
         return apply
 
     fields = [("p_toxic", T.DoubleType()), ("expected_severity", T.DoubleType()), ("grade", T.LongType()), ("toxic", T.BooleanType())]
-    return map_texts(docs, text_col, {"doc_id": id_col}, fields, kernel)
+    return map_texts(docs, text_col, {"doc_id": id_col, **(keep or {})}, fields, kernel)
 
 
 def train(docs: DataFrame, labels: DataFrame, grade: Column | None = None, limit: int = SAMPLE) -> OrdinalModel:
@@ -119,3 +119,8 @@ def train(docs: DataFrame, labels: DataFrame, grade: Column | None = None, limit
 
 def toxicity(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE, reject: float = REJECT) -> DataFrame:
     return score(docs, train(docs, labels, limit=limit), reject=reject)
+
+
+def drop_toxic(docs: DataFrame, model: OrdinalModel, reject: float = REJECT) -> DataFrame:
+    """``docs`` without the toxic ones."""
+    return restore(score(docs, model, reject=reject, keep=carry(docs)).where(~F.col("toxic")), docs)
