@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkdoc.llm import decontaminate, mixing, secrets, simhash, toxicity
+from sparkdoc.llm import decontaminate, mixing, secrets, sharding, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards of near equal bytes."""
+    return sharding.shard(table(spark, sf_dir, "documents"), 8)
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret spans of all documents."""
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
@@ -40,7 +45,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_secrets, op5_decontaminate, op7_mixing, op8_simhash, op10_toxicity)}
+    return {f.__name__: f for f in (op1_sharding, op4_secrets, op5_decontaminate, op7_mixing, op8_simhash, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
