@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkdoc.llm import decontaminate, mixing, secrets, sharding, simhash, toxicity
+from sparkdoc.llm import decontaminate, embeddings, mixing, secrets, sharding, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 8)
 
 
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicates among all vectors of one label."""
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret spans of all documents."""
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
@@ -45,8 +50,52 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op4_secrets, op5_decontaminate, op7_mixing, op8_simhash, op10_toxicity)}
+    return {f.__name__: f for f in (op1_sharding, op3_embeddings, op4_secrets, op5_decontaminate, op7_mixing, op8_simhash, op10_toxicity)}
+
+
+_OP3 = """
+with recursive v as (
+  select vec_id, label, embedding::double[] as e from embeddings
+), sound as (
+  select * from v where e is not null and label is not null and len(e) > 0
+    and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0
+), link as (
+  select a.vec_id as a, b.vec_id as b from sound a join sound b on a.label = b.label and a.vec_id <> b.vec_id
+  where list_cosine_similarity(a.e, b.e) >= 0.93
+), reach as (
+  select vec_id as a, vec_id as b from v
+  union
+  select r.a, l.b from reach r join link l on r.b = l.a
+), least as (
+  select a, min(b) as component_id from reach group by a
+)
+select v.vec_id, coalesce(n.n, 0)::bigint as n_links, least.component_id, v.vec_id = least.component_id as kept
+from v join least on least.a = v.vec_id left join (select a, count(*) as n from link group by a) n on n.a = v.vec_id
+"""
+
+_OP5 = """
+with words as (
+  select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) as w from documents
+), item as (
+  select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from benchmark where item_id is not null and text is not null
+), win as (
+  select distinct item_id, least(len(w), 8) as n, array_to_string(w[p : p + least(len(w), 8) - 1], ' ') as g
+  from (select item_id, w, unnest(generate_series(1, greatest(len(w) - 7, 1))) as p from item where len(w) > 0)
+), place as (
+  select doc_id, p, n, array_to_string(w[p : p + n - 1], ' ') as g
+  from (select doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) as p from words, (select distinct n from win) where len(w) >= n)
+), hit as (
+  select doc_id, p, place.n, item_id from place join win on win.n = place.n and win.g = place.g
+), covered as (
+  select doc_id, count(distinct k) as n_hit from (select doc_id, unnest(generate_series(p, p + n - 1)) as k from (select distinct doc_id, p, n from hit)) group by doc_id
+), items as (
+  select doc_id, count(*) as n_items, string_agg(i, ',' order by i) as ids from (select distinct doc_id, item_id::varchar as i from hit) group by doc_id
+)
+select words.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_items, 0) >= 2 as contaminated
+from words left join covered using (doc_id) left join items using (doc_id)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_embeddings": _OP3, "op5_decontaminate": _OP5}
