@@ -13,12 +13,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkdoc.llm._spark import slices
 from sparkdoc.llm._text import as_bytes, distinct_words, word_counts
 
 #: Labelled rows that a classifier is trained on.
 SAMPLE = 8000
 
 
+#: Bytes of sample text that are hashed at a time.
+CHUNK = 1 << 20
 #: G statistic below which a word tells nothing: about 1 in 2000 by chance.
 TELLING = 12.0
 
@@ -60,25 +63,36 @@ def screen(texts: list[str | None], y: np.ndarray, size: int, least: int = 5, pr
     """Hashes of the ``size`` words that tell most about y by the G-test of presence, among those in at least ``least`` texts."""
     data, off = as_bytes(texts)
     classes, y = np.unique(y, return_inverse=True)
-    docs, hashes = distinct_words(data, off, prefixes)
-    if not len(hashes):
-        return np.zeros(0, np.uint64)
-    vocabulary, col = np.unique(hashes, return_inverse=True)
-    df = np.bincount(col, minlength=len(vocabulary))
-    seen = np.stack([np.bincount(col[y[docs] == k], minlength=len(vocabulary)) for k in range(len(classes))], axis=1).astype(float)
+    k = len(classes)
+    vocabulary, seen = np.zeros(0, np.uint64), np.zeros((0, k), np.int64)
+    for i, j in slices(off, CHUNK):
+        docs, hashes = distinct_words(data[off[i] : off[j]], off[i : j + 1] - off[i], prefixes)
+        here, col = np.unique(hashes, return_inverse=True)
+        counts = np.bincount(col * k + y[i + docs], minlength=len(here) * k).reshape(-1, k)
+        merged, at = np.unique(np.concatenate([vocabulary, here]), return_inverse=True)
+        total = np.zeros((len(merged), k), np.int64)
+        total[at[: len(vocabulary)]] = seen
+        total[at[len(vocabulary) :]] += counts
+        vocabulary, seen = merged, total
+    if not len(vocabulary):
+        return vocabulary
+    df = seen.sum(axis=1)
+    often = df >= least
+    vocabulary, seen, df = vocabulary[often], seen[often].astype(float), df[often]
     share = np.bincount(y, minlength=len(classes)) / len(y)
     n = np.bincount(y, minlength=len(classes)).astype(float)
     absent = n - seen
     with np.errstate(divide="ignore", invalid="ignore"):
         g = np.where(seen > 0, seen * np.log(seen / (df[:, None] * share)), 0).sum(1)
         g += np.where(absent > 0, absent * np.log(absent / ((len(y) - df)[:, None] * share)), 0).sum(1)
-    g[df < least] = -1
     best = np.lexsort((vocabulary, -g))[:size]
     return np.sort(vocabulary[best[g[best] > TELLING]])
 
 
 def presence(texts: list[str | None], vocabulary: np.ndarray, prefixes: tuple[int, ...] = ()) -> Sparse:
-    row, col, n, _ = word_counts(*as_bytes(texts), vocabulary, prefixes)
+    data, off = as_bytes(texts)
+    parts = [(i, word_counts(data[off[i] : off[j]], off[i : j + 1] - off[i], vocabulary, prefixes)) for i, j in slices(off, CHUNK)]
+    row, col, n = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*[(i + p[0], p[1], p[2]) for i, p in parts], strict=True)) if parts else (np.zeros(0, np.int64),) * 3
     return Sparse(row, col, np.log2(1.0 + n), len(texts))
 
 
