@@ -89,7 +89,7 @@ class Typed:
     def present(self) -> Column:
         if self.kind is None:
             return _no()
-        return F.size(F.filter(self.c, lambda x: x.isNotNull())) > 0 if self.array else self.c.isNotNull()
+        return F.coalesce(F.size(F.filter(self.c, lambda x: x.isNotNull())) > 0, _no()) if self.array else self.c.isNotNull()
 
     def eq(self, v: Any) -> Column:
         if kind(v) is None or kind(v) != self.kind:

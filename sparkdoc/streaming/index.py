@@ -78,18 +78,18 @@ class Builder:
 
 
 class StoreIndexer:
-    """An indexer that is a store."""
+    """An indexer that is a store. It numbers what it applies itself, so that a rebuild is newer than what it replaces."""
 
     def __init__(self, index: Store) -> None:
         self.index = index
 
     def reset(self) -> None:
-        live = self.index.scan().select("key", (F.lit(self.index.last_seq) + 1).alias("seq"), F.lit(None).cast(self.index.schema["value"].dataType).alias("value"))
+        live = self.index.scan().select("key", F.lit(None).cast(self.index.schema["value"].dataType).alias("value"))
         if self.index.manifest.segments():
             self.index.write(live)
 
     def apply(self, changes: DataFrame) -> None:
-        self.index.write(changes.select("key", "seq", "value"))
+        self.index.write(changes.select("key", "value"))
 
 
 def start(log_path: str, index: Store, checkpoint: str, files_per_batch: int = 16):
