@@ -37,6 +37,8 @@ DIMS = 6
 #: Vectors of an interval, and the most intervals there may be (beyond it they grow): bounds the driver's list of boxes.
 INTERVAL, INTERVALS = 4096, 20_000
 LEAF = 512
+#: Places of intervals in pairs (13 bytes each) that are broadcast; more are shuffled.
+BROADCAST_PAIRS = 500_000
 
 
 def rotation(sample: np.ndarray, dims: int) -> np.ndarray:
@@ -118,6 +120,13 @@ _BLOCK = T.StructType(
 )
 
 
+def _components(vectors: DataFrame, column: str):
+    """The vectors as they are if they are floats, half of what doubles take; sums are in double precision anyway."""
+    kind = vectors.schema[column].dataType
+    single = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType)
+    return vectors[column] if single else vectors[column].cast("array<double>")
+
+
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Add a digest of label and components, null where a vector links with nothing."""
     for b in batches:
@@ -141,7 +150,7 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     scratch = Scratch(vectors.sparkSession)
-    rows = vectors.select(vectors[id_col].alias("vec_id"), vectors[label_col].cast("string").alias("label"), vectors[vector_col].cast("array<double>").alias("v"))
+    rows = vectors.select(vectors[id_col].alias("vec_id"), vectors[label_col].cast("string").alias("label"), _components(vectors, vector_col).alias("v"))
     keyed = scratch.keep(rows.mapInArrow(_keys, T.StructType([*rows.schema.fields, T.StructField("key", T.BinaryType())])), "vectors")
     alone = keyed.where("key is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     classes = keyed.where("key is not null").groupBy("key").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"), F.any_value("label").alias("label"), F.any_value("v").alias("v"))
@@ -167,7 +176,7 @@ def near_duplicates(
             cells = pa.array(np.floor(out / eps).astype(np.int32).tolist(), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*b.columns, cells, pa.array(out.tolist(), pa.list_(pa.float64()))], names=[*b.schema.names, "cells", "p"])
 
-    gridded = classes.select("node", "n", "label", "width", "v").mapInArrow(grid, "node long, n long, label string, width long, v array<double>, cells array<int>, p array<double>")
+    gridded = classes.select("node", "n", "label", "width", "v").mapInArrow(grid, T.StructType([*classes.select("node", "n", "label", "width", "v").schema.fields, *T._parse_datatype_string("cells array<int>, p array<double>").fields]))
     size = max(interval, -(-total // intervals))
     ordered = gridded.repartitionByRange(max(1, -(-total // size)), "label", "width", "cells", "p").sortWithinPartitions("label", "width", "cells", "p")
 
@@ -184,7 +193,7 @@ def near_duplicates(
         cut = [0, *[i for i in range(1, len(kinds)) if kinds[i] != kinds[i - 1]], len(kinds)]
         node, n, v = got.column("node").to_numpy(), got.column("n").to_numpy(), got.column("v").combine_chunks()
         for i, j in zip(cut, cut[1:]):
-            parts[kinds[i]] = (node[i:j], n[i:j], unit(v.slice(i, j - i).flatten().to_numpy(zero_copy_only=False), kinds[i][1]), p[i:j])
+            parts[kinds[i]] = (node[i:j], n[i:j], v.slice(i, j - i).flatten().to_numpy(zero_copy_only=False), p[i:j])
         named = [{"label": k[0], "width": k[1]} for k in (kinds[0], kinds[-1])]
         yield pa.RecordBatch.from_pylist(
             [{"pid": TaskContext.get().partitionId(), "first": named[0], "last": named[1], "lo": p.min(0).tolist(), "hi": p.max(0).tolist(), "rows": pickle.dumps(parts, protocol=5)}], schema=_arrow_schema()
@@ -193,32 +202,49 @@ def near_duplicates(
     blocks = scratch.keep(ordered.mapInArrow(block, _BLOCK), "blocks")
     meta = blocks.select("pid", "first", "last", "lo", "hi").collect()  # at most ``intervals`` rows
     pairs = _interval_pairs([r.asDict() for r in meta], eps)
+    # every block goes once to each pair it is in: one shuffle of the vectors, twice a pair of two blocks
+    wanted = [(x, k, False) for k, (x, _) in enumerate(pairs)] + [(y, k, True) for k, (x, y) in enumerate(pairs) if x != y]
     spark = vectors.sparkSession
-    listed = spark.createDataFrame(pa.table({"a": pa.array([x for x, _ in pairs], pa.int32()), "b": pa.array([y for _, y in pairs], pa.int32())})) if pairs else spark.createDataFrame([], "a int, b int")
-    left = blocks.select(F.col("pid").alias("a"), F.col("rows").alias("left"))
-    right = blocks.select(F.col("pid").alias("b"), F.col("rows").alias("right"))
+    columns = list(zip(*wanted, strict=True)) or [(), (), ()]
+    listed = spark.createDataFrame(pa.table({"pid": pa.array(columns[0], pa.int32()), "pair": pa.array(columns[1], pa.int64()), "second": pa.array(columns[2], pa.bool_())})) if wanted else spark.createDataFrame([], "pid int, pair long, second boolean")
+    sent = blocks.select("pid", "rows").join(F.broadcast(listed) if len(wanted) <= BROADCAST_PAIRS else listed, "pid")
     tasks = max(1, min(len(pairs), 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    matched = listed.join(left, "a").join(right, "b").repartition(tasks, "a", "b")
+    matched = sent.select("pair", "second", "rows").repartition(tasks, "pair").sortWithinPartitions("pair", "second")
+
+    def match(left: bytes, right: bytes) -> Iterator[pa.RecordBatch]:
+        a, same = pickle.loads(left), right is left
+        c = a if same else pickle.loads(right)
+        for kind in a.keys() & c.keys():
+            (ida, na, x, p), (idb, nb, y, q) = a[kind], c[kind]
+            x = unit(x, kind[1])
+            y = x if same else unit(y, kind[1])
+            offset = 0 if same else len(ida)
+            links, labels = np.zeros(offset + len(idb), np.int64), np.arange(offset + len(idb))
+            for i, j in join_intervals(x, p, y, q, same, threshold):
+                np.add.at(links, i, nb[j])
+                np.add.at(links, j + offset, na[i])
+                labels = min_labels(len(links), i, j + offset, labels)
+            ids = idb if same else np.concatenate([ida, idb])
+            hit = np.flatnonzero(links)
+            if len(hit):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(links[hit]), pa.array(ids[labels[hit]])], names=["node", "links", "root"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, left = None, b""
         for b in batches:
             for k in range(b.num_rows):
-                a, c = pickle.loads(b.column("left")[k].as_py()), pickle.loads(b.column("right")[k].as_py())
-                same = b.column("a")[k].as_py() == b.column("b")[k].as_py()
-                for kind in a.keys() & c.keys():
-                    (ida, na, x, p), (idb, nb, y, q) = a[kind], c[kind]
-                    offset = 0 if same else len(ida)
-                    links, labels = np.zeros(offset + len(idb), np.int64), np.arange(offset + len(idb))
-                    for i, j in join_intervals(x, p, y, q, same, threshold):
-                        np.add.at(links, i, nb[j])
-                        np.add.at(links, j + offset, na[i])
-                        labels = min_labels(len(links), i, j + offset, labels)
-                    ids = idb if same else np.concatenate([ida, idb])
-                    hit = np.flatnonzero(links)
-                    if len(hit):
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(links[hit]), pa.array(ids[labels[hit]])], names=["node", "links", "root"])
-
-    links = scratch.keep(matched.select("a", "b", "left", "right").mapInArrow(compare, "node long, links long, root long"), "links")
+                here, rows = b.column(0)[k].as_py(), b.column(2)[k].as_py()
+                if here != pair:
+                    if pair is not None:
+                        yield from match(left, left)
+                    pair, left = here, rows
+                else:
+                    yield from match(left, rows)
+                    pair = None
+        if pair is not None:
+            yield from match(left, left)
+
+    links = scratch.keep(matched.mapInArrow(compare, "node long, links long, root long"), "links")
     roots = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")), scratch)
     sums = links.groupBy("node").agg(F.sum("links").alias("links"))
     linked = scratch.keep(classes.select("key", "node", "n", "least").join(sums, "node", "left").join(roots, "node", "left").select("key", "n", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root")), "linked")
