@@ -9,8 +9,8 @@ rate is a function of the posterior and of all steps so far, so the driver holds
 and each pass over the narrow table (tokens, posterior) is one sum per domain; nothing is shuffled
 but partial sums.
 
-Targets are weights, scaled to the smallest total at which no domain must shrink (``grow``), so that no
-document need be dropped; a ``total`` of tokens can be given instead.
+Targets are weights, scaled to the smallest total at which no domain must shrink, so that no document is
+dropped; a ``total`` of tokens can be given instead.
 
 A rate becomes copies: its whole part, and one more with the chance of its fraction, drawn by a hash of
 the id. Null and empty texts have no tokens and get the rate of their posterior (the classifier's prior).
@@ -141,36 +141,40 @@ def fit(members: DataFrame, domains: list[str], targets: dict[str, float], total
     return best, want, now
 
 
-def plan(docs: DataFrame, labelled_docs: DataFrame, labels: DataFrame, domain_col: str = "lang", targets: dict[str, float] | None = None, total: float | None = None, limit: int = SAMPLE) -> tuple[DomainModel, np.ndarray]:
-    """Domain classifier, trained on at most ``limit`` rows of ``labelled_docs`` that ``labels`` covers, and the steps to the rates of ``docs``.
+def plan(docs: DataFrame, labelled_docs: DataFrame, labels: DataFrame, domain_col: str = "lang", targets: dict[str, float] | None = None, total: float | None = None, limit: int = SAMPLE) -> tuple[DomainModel, np.ndarray, float]:
+    """Domain classifier, trained on at most ``limit`` rows of ``labelled_docs`` that ``labels`` covers; the steps to the rates of ``docs``; their scale.
 
-    ``domain_col`` of ``labelled_docs`` is the label. Without labelled rows every rate is 1.
+    ``domain_col`` of ``labelled_docs`` is the label. Without labelled rows every rate is 1. Where no rate is
+    projected, a rate is linear in the posterior and least at a pure domain; without a ``total`` the scale
+    brings that least rate to 1, so that no document is lost.
     """
     rows = [r for r in labelled(labelled_docs, labels, F.lit(0), limit, extra=(domain_col,)) if r[f"x_{domain_col}"] is not None]
     if not rows:
-        return DomainModel([""], np.zeros(0, np.uint64), np.zeros((0, 1)), np.zeros(1)), np.zeros((0, 1))
+        return DomainModel([""], np.zeros(0, np.uint64), np.zeros((0, 1)), np.zeros(1)), np.zeros((0, 1)), 1.0
     model = train([r.text for r in rows], [r[f"x_{domain_col}"] for r in rows])
     scratch = Scratch(docs.sparkSession)
     members = scratch.keep(membership(docs, model), "members")
     steps, _, _ = fit(members, model.domains, TARGETS if targets is None else targets, total)
     scratch.drop(members)
-    return model, steps
+    least = _rates(np.eye(len(model.domains)), steps).min()
+    return model, steps, 1 / least if total is None and 0 < least < 1 else 1.0
 
 
-def rate(docs: DataFrame, model: DomainModel, steps: np.ndarray, id_col: str = "doc_id", text_col: str = "text", keep: dict[str, str] | None = None) -> DataFrame:
+def rate(docs: DataFrame, model: DomainModel, steps: np.ndarray, scale: float = 1.0, id_col: str = "doc_id", text_col: str = "text", keep: dict[str, str] | None = None) -> DataFrame:
     """One row per document: doc_id, kept columns, domain (the likeliest), p_domain, n_tokens, rate, copies."""
 
     def kernel():
         def apply(data: np.ndarray, off: np.ndarray) -> list:
             q, total = model.posteriors(data, off)
-            return [[model.domains[i] for i in q.argmax(axis=1)], q.max(axis=1), total, _rates(q, steps)]
+            return [[model.domains[i] for i in q.argmax(axis=1)], q.max(axis=1), total, _rates(q, steps) * scale]
 
         return apply
 
     fields = [("domain", T.StringType()), ("p_domain", T.DoubleType()), ("n_tokens", T.LongType()), ("rate", T.DoubleType())]
     source = docs.withColumn("__draw", _draw(docs, id_col, text_col))
     rated = map_texts(source, text_col, {"doc_id": id_col, "__draw": "__draw", **(keep or {})}, fields, kernel)
-    copies = F.floor("rate") + (F.col("__draw") < F.col("rate") - F.floor("rate")).cast("long")
+    whole = F.floor(F.col("rate") + 1e-9)
+    copies = whole + (F.col("__draw") < F.col("rate") - whole).cast("long")
     return rated.withColumn("copies", copies.cast("long")).drop("__draw")
 
 

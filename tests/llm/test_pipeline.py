@@ -64,10 +64,10 @@ def brute(spark, folder: str) -> tuple[Counter, list[int]]:
             least[r] = d[0] if least[r] is None else min(least[r], d[0])
     one = [d for d, r in zip(clean, root, strict=True) if d[0] is None or d[0] == least[r]]
     kept = [d for d in one if contamination(d[1], items)[2] == 0]
-    domain, steps = mixing.plan(spark.createDataFrame(kept, "doc_id long, text string"), *tables)
+    domain, steps, scale = mixing.plan(spark.createDataFrame(kept, "doc_id long, text string"), *tables)
     q, _ = domain.posteriors(*as_bytes([d[1] for d in kept]))
-    rates = mixing._rates(q, steps)
-    copies = [int(np.floor(r)) + (draw(*d) < r - np.floor(r)) for d, r in zip(kept, rates, strict=True)]
+    rates = mixing._rates(q, steps) * scale
+    copies = [int(np.floor(r + 1e-9)) + (draw(*d) < r - np.floor(r + 1e-9)) for d, r in zip(kept, rates, strict=True)]
     rows = Counter({d: int(n) for d, n in zip(kept, copies, strict=True)})
     groups: Counter = Counter()
     for d, n in rows.items():
