@@ -43,24 +43,30 @@ def remove_path(spark: SparkSession, path: str) -> None:
 
 
 class Scratch:
-    """Tables written to the shared folder; ``drop`` frees those no longer read."""
+    """Tables written to the shared folder; ``drop`` and ``only`` free those no longer read."""
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
-        self.paths: dict[int, str] = {}
+        self.tables: dict[int, tuple[DataFrame, str]] = {}  # holds the frames, so that no id is used again
 
     def keep(self, df: DataFrame, tag: str) -> DataFrame:
         """Write ``df`` once and return the written table, so that its lineage ends there."""
         path = fresh_path(self.spark, tag)
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        self.tables[id(out)] = (out, path)
         return out
 
     def drop(self, df: DataFrame) -> None:
-        path = self.paths.pop(id(df), None)
-        if path:
-            remove_path(self.spark, path)
+        found = self.tables.pop(id(df), None)
+        if found:
+            remove_path(self.spark, found[1])
+
+    def only(self, *needed: DataFrame) -> None:
+        """Drop all tables but those that the result still reads."""
+        for df, _ in list(self.tables.values()):
+            if not any(df is n for n in needed):
+                self.drop(df)
 
 
 def slices(offsets: np.ndarray, max_bytes: int) -> Iterator[tuple[int, int]]:

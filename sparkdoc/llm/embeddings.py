@@ -250,6 +250,7 @@ def near_duplicates(
     linked = scratch.keep(classes.select("key", "node", "n", "least").join(sums, "node", "left").join(roots, "node", "left").select("key", "n", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root")), "linked")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
     placed = scratch.keep(join_counted(linked, least, ["root"], "members", total).select("key", "n", "links", "component_id"), "placed")
+    scratch.only(keyed, placed)
     found = join_counted(keyed.where("key is not null").select("vec_id", "key"), placed, ["key"], "n", keyed.count())
     both = found.select("vec_id", (F.col("n") - 1 + F.col("links")).alias("n_links"), "component_id").unionByName(alone)
     return both.withColumn("kept", F.col("vec_id") == F.col("component_id"))

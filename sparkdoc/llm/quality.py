@@ -150,6 +150,7 @@ def score(docs: DataFrame, model: Classifier, host_col: str = "source", path_col
     with_host = scratch.keep(join_counted(paths.withColumn("h", F.to_json(F.struct("host"))), named_hosts, ["h"], "paths", n_paths).select("key", "n", "s", "q", "host_n", "host_s"), "with_host")
     host_mean = (F.col("host_s") + host_prior * mean) / (F.col("host_n") + host_prior)
     path_prior = _strength(with_host.withColumn("within", inside), "within", host_mean)
+    scratch.only(rows, with_host)
     found = join_counted(rows, with_host.select("key", "n", "s", "host_n", "host_s"), ["key"], "n", total)
     # the document's own evidence is left out of its site's record
     host = (F.col("host_s") - e + host_prior * mean) / (F.col("host_n") - 1 + host_prior)

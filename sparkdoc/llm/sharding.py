@@ -240,6 +240,7 @@ def _slots(rows: DataFrame, scratch: Scratch) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(shard), pid, np.int32)), pa.array(idx)], names=schema.names)
 
     written = scratch.keep(rows.mapInArrow(count, schema), "sharded")
+    scratch.only(written)
     sizes = written.groupBy("shard", "pid").count().withColumnRenamed("count", "rows_here")
     from pyspark.sql import Window
 

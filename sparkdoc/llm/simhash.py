@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkdoc.llm._spark import Scratch, components, join_counted, map_texts, min_labels
-from sparkdoc.llm._text import LOWER, SPACE, words, xxh64
+from sparkdoc.llm._text import SPACE, words, xxh64
 
 RADIUS = 6
 #: Fingerprints that one task compares with each other at once (8 bytes each).
@@ -222,6 +222,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch = Scratch(docs.sparkSession)
     fps = scratch.keep(fingerprint_table(docs, id_col, text_col), "fps")
     classes = scratch.keep(link(fps, scratch, radius, max_bucket), "near")
+    scratch.only(fps, classes)
     rows = join_counted(fps, classes, ["fp"], "n", fps.count())
     return rows.select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "n_near", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
