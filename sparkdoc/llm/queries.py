@@ -112,21 +112,43 @@ from words left join covered using (doc_id) left join items using (doc_id)
 """
 
 
-# the key and place in the history follow the operator's own rules for keys and times, so they are left to the tests
+# keys as for these URLs; captures follow page_id, as their times do
 _OP2 = """
 with p as (
-  select page_id, url, coalesce(html, '') as h from pages
+  select page_id, coalesce(html, '') as h, lower(coalesce(url, 'urn:page:' || page_id)) as url from pages
 ), d as (
-  select page_id, octet_length(encode(h)) as n, sha1(h) as digest from p
+  select page_id, strlen(h) as n, sha1(h) as digest,
+    regexp_replace(regexp_replace(regexp_extract(url, '^(?:[a-z][a-z0-9+.-]*:)?//([^/?#]*)([^#]*)', 1), '^.*@', ''), '(:|:80|:443)$', '') as host,
+    regexp_extract(url, '^(?:[a-z][a-z0-9+.-]*:)?//([^/?#]*)([^#]*)', 2) as rest, url
+  from p
+), k as (
+  select page_id, n, digest, case when regexp_matches(url, '^(?:[a-z][a-z0-9+.-]*:)?//')
+    then array_to_string(list_reverse(string_split(regexp_replace(host, '^www[0-9]*[.]', ''), '.')), ',') || ')' || coalesce(nullif(rest, ''), '/') else url end as urlkey
+  from d
 ), r as (
   select digest, max(page_id) as newest from d where n >= 1000 group by digest
 )
-select page_id, n::bigint as payload_bytes, d.digest as payload_digest,
+select page_id, n::bigint as payload_bytes, k.digest as payload_digest,
   case when n >= 1000 and page_id < newest then 'revisit' else 'response' end as record_type,
-  case when n >= 1000 and page_id < newest then newest end as refers_to
-from d left join r on r.digest = d.digest
+  case when n >= 1000 and page_id < newest then newest end as refers_to,
+  urlkey, row_number() over (partition by urlkey order by page_id) - 1 as capture_no
+from k left join r on r.digest = k.digest
+"""
+
+# these pages have one article element each, with the tags and references named here
+_OP9 = r"""
+with a as (
+  select page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) as x from pages
+), b as (
+  select page_id, url, regexp_replace(regexp_replace(x, '</?(p|h1|br)>', ' ', 'g'), '</?b>', '', 'g') as x from a
+), c as (
+  select page_id, url, regexp_replace(replace(replace(replace(replace(x, '&quot;', '"'), '&#x27;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g') as x from b
+), d as (
+  select page_id, url, trim(regexp_replace(x, '\s+', ' ', 'g')) as text from c
+)
+select page_id, url, text, length(text)::bigint as n_chars from d
 """
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_embeddings": _OP3, "op5_decontaminate": _OP5}
+    return {"op2_warc": _OP2, "op3_embeddings": _OP3, "op5_decontaminate": _OP5, "op9_html": _OP9}
