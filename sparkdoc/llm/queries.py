@@ -150,5 +150,34 @@ select page_id, url, text, length(text)::bigint as n_chars from d
 """
 
 
+# the base kinds; tokens with checksums, which SQL can't verify, don't occur in these tables
+_NAMES = "[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]"
+_ASSIGN = f"""({_NAMES})["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_OP4 = f"""
+with k as (
+  select doc_id, coalesce(text, '') as t from documents
+), m as (
+  select doc_id, 'assign' as kind, 0 as rank, regexp_extract_all(t, '{_ASSIGN}') as m, string_split_regex(t, '{_ASSIGN}') as p from k
+  union all
+  select doc_id, 'access', 1, regexp_extract_all(t, 'AKIA[A-Z0-9]+'), string_split_regex(t, 'AKIA[A-Z0-9]+') from k
+  union all
+  select doc_id, 'hex', 2, regexp_extract_all(t, '[0-9a-f]{{16,}}'), string_split_regex(t, '[0-9a-f]{{16,}}') from k
+), s as (
+  select doc_id, kind, rank, m[i] as x, (list_sum(list_transform(p[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda y: length(y))), 0))::bigint as start
+  from (select *, unnest(generate_series(1, len(m))) as i from m where len(m) > 0)
+), f as (
+  select doc_id, kind, rank, start, start + length(x) as stop from s
+  where rank = 0 and length(regexp_extract(x, '{_ASSIGN}', 2)) >= 12 or rank = 1 and length(x) >= 18 or rank = 2
+), g as (
+  select doc_id, count(*) filter (rank = 0) as a, count(*) filter (rank = 1) as b, count(*) filter (rank = 2) as c,
+    string_agg(kind || ':' || start || ':' || stop, ',' order by start, rank) as spans
+  from f group by doc_id
+)
+select d.doc_id, coalesce(a, 0)::bigint as n_assign, coalesce(b, 0)::bigint as n_access, coalesce(c, 0)::bigint as n_hex,
+  sha256(coalesce(spans, '')) as base_sha256, coalesce(spans, '') as spans
+from documents d left join g on g.doc_id = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": _OP2, "op3_embeddings": _OP3, "op5_decontaminate": _OP5, "op9_html": _OP9}
+    return {"op2_warc": _OP2, "op3_embeddings": _OP3, "op4_secrets": _OP4, "op5_decontaminate": _OP5, "op9_html": _OP9}
