@@ -164,32 +164,35 @@ NOW = "2026-01-01 00:00:00"
 
 def _doc_rows(s: SparkSession, d: str) -> DataFrame:
     docs = t.documents(s, d)
-    return docs.select(F.lpad(F.col("id").cast("string"), 8, "0").alias("id"), "content", F.to_json(F.struct("lang", "quality", "source", "toxic")).alias("attributes"), F.lit(None).cast("array<float>").alias("embedding"), F.lit(None).cast("string").alias("embedding_model"))
+    return docs.select(F.lpad(F.col("id").cast("string"), 8, "0").alias("id"), "content", F.to_json(F.struct("lang", "quality", "source", "toxic")).alias("attributes"), F.lit(None).cast("array<float>").alias("embedding"), F.lit(None).cast("string").alias("embedding_model"), "lang")
 
 
 def _upserted(s: SparkSession, d: str) -> DataFrame:
-    """Stored once at an earlier time, then documents with an id divisible by 3 written again, and some new ones."""
+    """All stored at an earlier time; then the English ones written again, and the French ones under new ids."""
     rows = _doc_rows(s, d)
     first = D.prepare(rows, None, F.lit("2025-01-01 00:00:00").cast("timestamp"))
-    batch = rows.where(F.col("id").cast("long") % 3 == 0).unionByName(rows.where(F.col("id").cast("long") < 20).withColumn("id", F.concat(F.lit("new"), "id")))
+    batch = rows.where("lang = 'en'").unionByName(rows.where("lang = 'fr'").withColumn("id", F.concat(F.lit("new"), "id")))
     return D.prepare(batch, first, F.lit(NOW).cast("timestamp"))
 
 
 add(
     "doc_upsert_versions",
     lambda s, d: _upserted(s, d).select("id", "version", F.date_format("created_at", "yyyy-MM-dd").alias("created"), F.date_format("updated_at", "yyyy-MM-dd").alias("updated")),
-    f"with {DOCS} select lpad(id::varchar, 8, '0') as id, 2::bigint as version, '2025-01-01' as created, '2026-01-01' as updated from docs where id % 3 = 0 union all select 'new' || lpad(id::varchar, 8, '0'), 1, '2026-01-01', '2026-01-01' from docs where id < 20",
+    f"with {DOCS} select lpad(id::varchar, 8, '0') as id, 2::bigint as version, '2025-01-01' as created, '2026-01-01' as updated from docs where lang = 'en' union all select 'new' || lpad(id::varchar, 8, '0'), 1, '2026-01-01', '2026-01-01' from docs where lang = 'fr'",
 )
 add("doc_list_page", lambda s, d: D.list_page(D.as_entries(_doc_rows(s, d), F.col("id").cast("long") + 1), 25, "00000100").select("id", F.length("content").alias("size")), f"with {DOCS} select lpad(id::varchar, 8, '0') as id, length(content) as size from docs where id > 100 order by 1 limit 25")
 
 
 def _deleted_docs(s: SparkSession, d: str) -> DataFrame:
-    rows = D.as_entries(_doc_rows(s, d), F.col("id").cast("long") + 1)
-    gone = rows.where(F.col("seq") % 5 == 0).select("key", (F.col("seq") + 10_000_000).alias("seq"), F.lit(None).cast(rows.schema["value"].dataType).alias("value"))
+    """All stored, then the German ones deleted."""
+    docs = _doc_rows(s, d)
+    rows = D.as_entries(docs, F.col("id").cast("long") + 1)
+    later = rows.agg(F.max("seq")).first()[0] or 0
+    gone = docs.where("lang = 'de'").select(F.col("id").alias("key"), (F.col("id").cast("long") + 1 + later).alias("seq"), F.lit(None).cast(rows.schema["value"].dataType).alias("value"))
     return E.live(rows.unionByName(gone)).select(F.col("key").alias("id"), F.length("value.content").alias("size"))
 
 
-add("doc_delete", _deleted_docs, f"with {DOCS} select lpad(id::varchar, 8, '0') as id, length(content) as size from docs where (id + 1) % 5 <> 0")
+add("doc_delete", _deleted_docs, f"with {DOCS} select lpad(id::varchar, 8, '0') as id, length(content) as size from docs where lang <> 'de'")
 
 RULES = Schema({"lang": FieldDefinition(FieldType.STRING, required=True), "source": FieldDefinition(FieldType.INT), "quality": FieldDefinition(FieldType.INT, required=True)})
 add(
@@ -241,8 +244,8 @@ add("vec_knn", lambda s, d: V.nearest(_vectors(s, d), POINT, 10).select("id", F.
 add("vec_knn_zero", lambda s, d: V.nearest(_vectors(s, d), POINT, 0).agg(F.count("*").alias("n")), "select 0::bigint as n")
 add(
     "vec_knn_filtered_dims",
-    lambda s, d: V.nearest(_vectors(s, d).withColumn("embedding", F.when(F.col("id") % 3 == 0, F.slice("embedding", 1, 3)).otherwise(F.col("embedding"))), POINT, 10).select("id", F.round("distance", 6).alias("distance")),
-    f"select id, round(distance, 6) as distance from (select vec_id as id, list_cosine_distance(embedding::double[], {_LIST}) as distance from embeddings where vec_id % 3 <> 0 order by distance, id limit 10)",
+    lambda s, d: V.nearest(_vectors(s, d).withColumn("embedding", F.when(F.col("label") == 3, F.slice("embedding", 1, 3)).otherwise(F.col("embedding"))), POINT, 10).select("id", F.round("distance", 6).alias("distance")),
+    f"select id, round(distance, 6) as distance from (select vec_id as id, list_cosine_distance(embedding::double[], {_LIST}) as distance from embeddings where label <> 3 order by distance, id limit 10)",
 )
 
 
