@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 from typing import Any, Protocol
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -170,10 +171,32 @@ class DocumentTable:
             bad = df.select("id", violations(self._schema, F.col("attributes")).alias("v")).where(F.size("v") > 0).limit(3).collect()
             if bad:
                 raise ValidationError("; ".join(f"{r.id}: {', '.join(r.v)}" for r in bad))
+        df = self._embed_frame(df)
         prepared = D.prepare(df, self._live(F.lit(True)), F.current_timestamp())
         entries = D.as_entries(prepared, F.monotonically_increasing_id() + self.store.last_seq + 1)
         return self.store.write(entries)
 
+    def _embed_frame(self, df: DataFrame) -> DataFrame:
+        """Embed the texts of a frame in Arrow batches on the executors; the write that follows runs it once a row."""
+        model, embedder = self._schema.embedding_model if self._schema else "", self.embedder
+        if not (embedder and model):
+            return df
+
+        @F.pandas_udf("array<float>")
+        def embed(texts: pd.Series) -> pd.Series:
+            some = texts.notna() & (texts != "")
+            out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
+            if some.any():
+                out[some] = pd.Series([list(map(float, v)) for v in embedder.embed(texts[some].tolist(), model)], index=texts.index[some], dtype=object)
+            return out
+
+        kinds = {n: f.type for n, f in self._schema.fields.items()}
+        json = lambda n: F.get_json_object("attributes", f"$['{n}']")
+        values = {n: F.from_json(json(n), "array<string>") if t is FieldType.STRINGS else json(n) for n, t in kinds.items()}
+        made = df.withColumn("__vector", embed(D.embedding_text(F.col("content"), values, kinds)))
+        old = {c: F.col(c) if c in df.columns else F.lit(None) for c in ("embedding", "embedding_model")}
+        return made.withColumns({"embedding": F.coalesce("__vector", old["embedding"].cast("array<float>")), "embedding_model": F.when(F.col("__vector").isNotNull(), model).otherwise(old["embedding_model"].cast("string"))}).drop("__vector")
+
     def delete_document(self, id: str) -> None:
         self._open()
         self.store.delete(id)

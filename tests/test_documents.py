@@ -79,6 +79,15 @@ def test_bulk_is_all_or_nothing_and_frames_upsert(spark, tmp_path):
         table.upsert(rows.withColumn("attributes", F.lit('{"score": "high"}')))
 
 
+def test_frames_are_embedded(spark, tmp_path):
+    table = DocumentTable(spark, f"{tmp_path}", "docs", SCHEMA, Fixed())
+    rows = [("1", "a fox", '{"kind": "x"}'), ("2", None, '{"title": "fox"}'), ("3", None, None), ("4", "dog", None)]
+    table.upsert(spark.createDataFrame(rows, "id string, content string, attributes string"))
+    got = {r.id: (r.embedding, r.embedding_model) for r in table.documents().collect()}
+    assert got == {"1": ([1.0, 0.0], "model-a"), "2": ([1.0, 0.0], "model-a"), "3": (None, None), "4": ([0.0, 1.0], "model-a")}
+    assert [d.id for d in table.search_vector([1.0, 0.0], 2)] == ["1", "2"]
+
+
 def test_schema_change_skips_old_vectors(spark, tmp_path):
     table = DocumentTable(spark, f"{tmp_path}", "docs", SCHEMA, Fixed())
     table.put_document(Document("1", "fox", {"kind": "a"}))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 
+from sparkdoc.sources.cache import SegmentCache
 from sparkdoc.sources.manifest import Manifest, ManifestStore, Segment
 from sparkdoc.sources.objects import HadoopStore, MemoryStore, NotFoundError, PreconditionError, r2_options, s3_options
 from sparkdoc.sources.store import ClosedError, StaleWriterError, Store
@@ -160,3 +162,37 @@ def test_s3_settings():
     assert s3_options("http://x")["spark.hadoop.fs.s3a.path.style.access"] == "true" and s3_options() == {}
     with pytest.raises(ValueError):
         s3_options(access_key="a")
+
+
+def test_segment_cache(spark, tmp_path):
+    frame = lambda n: spark.range(n)
+    c = SegmentCache(100)
+    a = c.put("a", frame(1), 40)
+    c.put("b", frame(2), 40)
+    assert c.get("a") is a and a.is_cached and len(c) == 2 and c.size == 80
+    c.put("c", frame(3), 50)  # b was used longest ago
+    assert "b" not in c and "a" in c and c.get("x") is None
+    assert not c.put("large", frame(4), 101).is_cached and "large" not in c
+    assert c.load("a", 40, lambda: 1 / 0) is a
+    c.clear()
+    assert len(c) == 0 and not a.is_cached
+    s = Store(spark, f"{tmp_path}/db", "string", cache=SegmentCache.on_disk())
+    for k in ("a", "b"):
+        s.put(k, k)
+        s.flush()
+    assert [r.key for r in s.scan().collect()] == [r.key for r in s.scan().collect()] == ["a", "b"] and len(s.cache) == 2
+    s.close()
+    assert len(s.cache) == 0
+
+
+def test_background_compaction(spark, tmp_path):
+    s = Store(spark, f"{tmp_path}/db", "string", compaction_threshold=2)
+    for k in ("a", "b"):
+        s.put(k, k)
+        s.flush()
+    s.compact_every(0.2)
+    until = time.time() + 60
+    while s.manifests.latest().l0 and time.time() < until:
+        time.sleep(0.2)
+    assert not s.manifests.latest().l0 and [r.key for r in s.scan().collect()] == ["a", "b"]
+    s.close()
