@@ -107,17 +107,20 @@ def map_texts(
     task; what it returns gets (bytes, offsets) of about ``chunk_bytes`` of whole texts and gives
     one array for each of ``fields``.
     """
-    source = df.select(*[df[c].alias(name) for name, c in keep.items()], df[text_col].cast("string").alias("__text"))
-    schema = T.StructType([*source.schema.fields[:-1], *[T.StructField(n, t) for n, t in fields]])
-    arrow = [_arrow_type(t) for _, t in fields]
+    # a text that is kept goes to Python once
+    kept_at = [i for i, c in enumerate(keep.values()) if c == text_col and isinstance(df.schema[c].dataType, T.StringType)]
+    at = kept_at[0] if kept_at else len(keep)
+    source = df.select(*[df[c].alias(name) for name, c in keep.items()], *([] if kept_at else [df[text_col].cast("string").alias("__text")]))
+    schema = T.StructType([*source.schema.fields[: len(keep)], *[T.StructField(n, t) for n, t in fields]])
+    n_keep, arrow = len(keep), [_arrow_type(t) for _, t in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = kernel()
         for batch in batches:
-            data, off = text_buffer(batch.column(batch.num_columns - 1))
+            data, off = text_buffer(batch.column(at))
             for i, j in slices(off, chunk_bytes):
                 out = apply(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                kept = [batch.column(k).slice(i, j - i) for k in range(batch.num_columns - 1)]
+                kept = [batch.column(k).slice(i, j - i) for k in range(n_keep)]
                 made = [x if isinstance(x, pa.Array) else pa.array(x, type=t) for x, t in zip(out, arrow, strict=True)]
                 yield pa.RecordBatch.from_arrays([*kept, *made], names=schema.names)
 
