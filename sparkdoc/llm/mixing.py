@@ -10,7 +10,9 @@ and each pass over the narrow table (tokens, posterior) is one sum per domain; n
 but partial sums.
 
 Targets are weights, scaled to the smallest total at which no domain must shrink, so that no document is
-dropped; a ``total`` of tokens can be given instead.
+dropped; a ``total`` of tokens can be given instead. A domain without a stated weight keeps its present share
+of the tokens: its rate is set to the growth of the whole, and the stated weights divide the rest. Only a
+domain whose stated weight is 0 is dropped.
 
 A rate becomes copies: its whole part, and one more with the chance of its fraction, drawn by a hash of
 the id. Null and empty texts have no tokens and get the rate of their posterior (the classifier's prior).
@@ -40,6 +42,8 @@ TARGETS = {"en": 0.5, "de": 0.18, "fr": 0.18, "es": 0.14}
 STEPS = 60
 #: Relative distance from every target at which the steps end.
 CLOSE = 1e-6
+#: Without a total, no step takes the rate of a pure wanted domain below this; bringing it to 1 again can grow the rows by its inverse.
+LEAST = 0.1
 
 
 @dataclass
@@ -118,24 +122,37 @@ def _expected(members: DataFrame, steps: np.ndarray, k: int) -> np.ndarray:
 
 
 def fit(members: DataFrame, domains: list[str], targets: dict[str, float], total: float | None = None, steps: int = STEPS, close: float = CLOSE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Steps that lead to the rates; the token targets; the expected tokens reached."""
+    """Steps that lead to the rates; the token targets; the expected tokens reached.
+
+    The first step sets the rates of domains that ``targets`` doesn't name. They take no part in the others: a
+    stray label, of which the classifier sees a little in every document of its language, must not move that language.
+    """
     k = len(domains)
     made = np.zeros((0, k))
     have = _expected(members, made, k)
     weight = np.array([float(targets.get(d, 0.0)) for d in domains])
     weight[have <= 0] = 0
-    if weight.sum() <= 0:
+    unstated = np.array([d not in targets for d in domains]) & (have > 0)
+    if weight.sum() <= 0 and not unstated.any():
         return made, have, have
-    weight /= weight.sum()
-    want = weight * (np.max((have / np.where(weight > 0, weight, np.inf))) if total is None else total)
+    share = np.where(unstated, have, 0) / have.sum()
+    weight = weight * ((1 - share.sum()) / (weight.sum() or 1)) + share
+    whole = np.max((have / np.where(weight > 0, weight, np.inf))) if total is None else total
+    want = weight * whole
     scale = np.where(have > 0, have, 1.0)
-    now = have
-    best, velocity = made, np.zeros(k)
+    best, velocity, now = made, np.zeros(k), have
+    if unstated.any():
+        best = np.where(unstated, 1 - whole / have.sum(), 0)[None, :]
+        now = _expected(members, best, k)
+    stated = (have > 0) & ~unstated
+    pure = 1 - best.sum(axis=0)
+    floor = np.where(weight > 0, LEAST, -np.inf) if total is None else np.full(k, -np.inf)
     for _ in range(steps):
-        off = (now - want) / scale
-        if np.abs(off[have > 0]).max() <= close:
+        off = np.where(stated, (now - want) / scale, 0)
+        if np.abs(off).max() <= close:
             break
-        velocity = 0.3 * velocity + off  # gradient with momentum; curvature is at most 1 after scaling
+        velocity = np.minimum(0.3 * velocity + off, pure - floor)  # gradient with momentum; curvature is at most 1 after scaling
+        pure = pure - velocity
         best = np.concatenate([best, velocity[None, :]])
         now = _expected(members, best, k)
     return best, want, now
@@ -146,7 +163,7 @@ def plan(docs: DataFrame, labelled_docs: DataFrame, labels: DataFrame, domain_co
 
     ``domain_col`` of ``labelled_docs`` is the label. Without labelled rows every rate is 1. Where no rate is
     projected, a rate is linear in the posterior and least at a pure domain; without a ``total`` the scale
-    brings that least rate to 1, so that no document is lost.
+    brings the least rate of a wanted domain to 1, so that no document is lost unless a stated weight is 0.
     """
     rows = [r for r in labelled(labelled_docs, labels, F.lit(0), limit, extra=(domain_col,)) if r[f"x_{domain_col}"] is not None]
     if not rows:
@@ -154,10 +171,10 @@ def plan(docs: DataFrame, labelled_docs: DataFrame, labels: DataFrame, domain_co
     model = train([r.text for r in rows], [r[f"x_{domain_col}"] for r in rows])
     scratch = Scratch(docs.sparkSession)
     members = scratch.keep(membership(docs, model), "members")
-    steps, _, _ = fit(members, model.domains, TARGETS if targets is None else targets, total)
+    steps, want, _ = fit(members, model.domains, TARGETS if targets is None else targets, total)
     scratch.drop(members)
-    least = _rates(np.eye(len(model.domains)), steps).min()
-    return model, steps, 1 / least if total is None and 0 < least < 1 else 1.0
+    least = _rates(np.eye(len(model.domains)), steps)[want > 0].min(initial=1.0)
+    return model, steps, 1 / least if total is None else 1.0
 
 
 def rate(docs: DataFrame, model: DomainModel, steps: np.ndarray, scale: float = 1.0, id_col: str = "doc_id", text_col: str = "text", keep: dict[str, str] | None = None) -> DataFrame:

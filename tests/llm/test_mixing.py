@@ -73,6 +73,34 @@ def test_shrinking_projects_at_zero(spark):
     assert tokens["de"] == pytest.approx(1000, rel=0.1) and tokens["fr"] == pytest.approx(1000, rel=0.1)
 
 
+@pytest.mark.parametrize("odd", ["it", "EN", ""])
+def test_a_label_without_a_target_loses_nothing(spark, odd):
+    data = rows(500, 6)
+    rng = random.Random(7)
+    if odd == "it":
+        data += [(1000 + i, " ".join(rng.choices("il e di che".split() + [f"w{k}" for k in range(30)], k=60)), odd, 0.5) for i in range(12)]
+    else:  # one stray label
+        data[0] = (0, "the of and to " * 20, odd, 0.5)
+    docs = spark.createDataFrame(data, SCHEMA)
+    labels = spark.createDataFrame([(r[0],) for r in data], "doc_id long")
+    targets = {"en": 0.4, "de": 0.4, "fr": 0.2}
+    model, steps, scale = m.plan(docs, docs, labels, targets=targets)
+    assert odd in model.domains
+    got = m.rate(docs, model, steps, scale).collect()
+    assert len(got) == len(data) and min(g.copies for g in got) >= 1 and min(g.rate for g in got) > 1 - 1e-9
+    q, n = model.posteriors(*as_bytes([r[1] for r in data]))
+    r = np.array([{g.doc_id: g.rate for g in got}[d[0]] for d in data])
+    before, reached = n @ q, (r * n) @ q
+    at = [model.domains.index(d) for d in targets]
+    assert np.allclose(reached[at] / reached[at].sum(), list(targets.values()), atol=2e-3)
+    if odd == "it":
+        k = model.domains.index(odd)
+        assert reached[k] / reached.sum() == pytest.approx(before[k] / before.sum(), rel=0.05)
+    assert (r * n).sum() < 1.2 * (before[at] / list(targets.values())).max()  # nor does the odd label make the rows many more
+    assert all(g.copies >= 1 for g in m.mix(docs, docs, labels).collect())
+    assert {g.copies for g in m.mix(docs, docs, labels, targets={}).collect()} == {1}
+
+
 def test_odd_rows(spark):
     data = rows(100, 5)
     odd = [*data, (200, None, "en", None), (201, "", None, 1.0), (None, "der und", "de", 1.0), data[0], (202, "le " * 30000, "fr", 1.0)]
