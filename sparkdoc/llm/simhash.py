@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkdoc.llm._spark import Scratch, components, join_counted, map_texts, min_labels
+from sparkdoc.llm._spark import Scratch, carry, components, join_counted, map_texts, min_labels, restore
 from sparkdoc.llm._text import SPACE, words, xxh64
 
 RADIUS = 6
@@ -185,10 +185,10 @@ def _compare_buckets(earlier: list[list[int]], radius: int) -> Callable[[Iterato
 
 
 def link(fps: DataFrame, scratch: Scratch, radius: int = RADIUS, max_bucket: int = MAX_BUCKET) -> DataFrame:
-    """Classes of equal fingerprints: (fp, n, n_near, component_id) from written rows (doc_id, fp).
+    """Classes of equal fingerprints: (fp, n, n_near, component_id, keeper) from written rows (doc_id, fp).
 
     ``n`` is the class's number of rows, ``n_near`` the rows linked directly to one of its rows,
-    ``component_id`` the smallest doc_id that links reach.
+    ``component_id`` the smallest doc_id that links reach, ``keeper`` the smallest fingerprint that it has there.
     """
     classes = scratch.keep(fps.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")), "classes")
     paths = _Paths(radius)
@@ -212,31 +212,42 @@ def link(fps: DataFrame, scratch: Scratch, radius: int = RADIUS, max_bucket: int
     joined = scratch.keep(
         classes.join(sums, "fp", "left").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "fp").alias("root")), "linked"
     )
-    least = joined.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    first = F.min(F.when(F.col("least").isNotNull(), F.struct("least", "fp")))
+    least = joined.groupBy("root").agg(first.alias("first"), F.count("*").alias("members")).select("root", F.col("first.least").alias("component_id"), F.col("first.fp").alias("keeper"), "members")
     placed = join_counted(joined, least, ["root"], "members", joined.count())
-    return placed.select("fp", "n", (F.col("n") - 1 + F.col("links")).alias("n_near"), "component_id")
+    return placed.select("fp", "n", (F.col("n") - 1 + F.col("links")).alias("n_near"), "component_id", "keeper")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, max_bucket: int = MAX_BUCKET) -> DataFrame:
-    """One row per row of ``docs``: doc_id, fingerprint, n_near, component_id, kept (the component's smallest id)."""
+def _linked(docs: DataFrame, id_col: str, text_col: str, radius: int, max_bucket: int) -> DataFrame:
+    """One row per row of ``docs``: doc_id and the columns of ``link``."""
     scratch = Scratch(docs.sparkSession)
     fps = scratch.keep(fingerprint_table(docs, id_col, text_col), "fps")
     classes = scratch.keep(link(fps, scratch, radius, max_bucket), "near")
     scratch.only(fps, classes)
-    rows = join_counted(fps, classes, ["fp"], "n", fps.count())
+    return join_counted(fps, classes, ["fp"], "n", fps.count())
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, max_bucket: int = MAX_BUCKET) -> DataFrame:
+    """One row per row of ``docs``: doc_id, fingerprint, n_near, component_id, kept (the component's smallest id)."""
+    rows = _linked(docs, id_col, text_col, radius, max_bucket)
     return rows.select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "n_near", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
-#: Ids that are broadcast to drop their rows (a long each); more are dropped by a shuffle.
+#: Pairs of id and fingerprint that are broadcast to drop their rows (two longs each); more are dropped by a shuffle.
 BROADCAST_IDS = 1_000_000
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """``docs`` with one document of each component: that of the smallest doc_id.
 
-    Rows with a null id can't be told apart and stay; of repeated rows of the kept id all stay.
+    Rows are told apart by id and fingerprint, so an id that occurs with different texts loses only the copies among
+    them; where several texts of the kept id lie in one component, that of the smallest fingerprint stays. Rows with
+    a null id can't be told apart and stay; of repeated rows of the kept id and fingerprint all stay.
     """
     scratch = Scratch(docs.sparkSession)
-    drop = scratch.keep(near_duplicates(docs, radius=radius).where(~F.col("kept")).select("doc_id").distinct(), "drop")
+    own_id = next(k for k, c in carry(docs).items() if c == "doc_id")
+    kept = (F.col("doc_id") == F.col("component_id")) & (F.col("fp") == F.col("keeper"))
+    drop = scratch.keep(_linked(docs, "doc_id", "text", radius, MAX_BUCKET).where(~kept & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(own_id), "fp").distinct(), "drop")
     small = drop.count() <= broadcast_ids
-    return docs.join(F.broadcast(drop) if small else drop, "doc_id", "left_anti").select(*docs.columns)
+    marked = map_texts(docs, "text", carry(docs), [("fp", T.LongType())], lambda: lambda data, off: [fingerprints(data, off).view(np.int64)])
+    return restore(marked.join(F.broadcast(drop) if small else drop, [own_id, "fp"], "left_anti"), docs)

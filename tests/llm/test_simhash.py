@@ -73,6 +73,19 @@ def test_whole_operator(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("broadcast_ids", [simhash.BROADCAST_IDS, 0])
+def test_an_id_with_different_texts_loses_only_the_copies(spark, broadcast_ids):
+    base = " ".join(f"w{i}" for i in range(200))
+    alone, again = " ".join(f"x{i}" for i in range(90)), " ".join(f"y{i}" for i in range(200))
+    rows = [(1, base), (2, base), (2, alone), (3, again), (3, again + " end"), (4, again), (None, base), (None, again)]
+    assert 0 < (fingerprint(rows[3][1]) ^ fingerprint(rows[4][1])).bit_count() <= 6
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one = min((again, again + " end"), key=lambda t: int(np.uint64(fingerprint(t)).view(np.int64)))
+    got = simhash.keep_one(docs, broadcast_ids=broadcast_ids)
+    assert got.columns == docs.columns
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [(1, base), (2, alone), (3, one), (None, base), (None, again)]))
+
+
 @pytest.mark.parametrize("local_edges", [10**6, 0])
 def test_components(spark, local_edges):
     rng = random.Random(8)
