@@ -77,7 +77,8 @@ def train(texts: list[str | None], domains: list[str], words: int = WORDS, ridge
 
 def _draw(docs: DataFrame, id_col: str, text_col: str) -> Column:
     """Uniform in [0, 1) by a hash of the id, or of the text where it is null."""
-    h = F.xxhash64(F.coalesce(F.xxhash64(docs[id_col].cast("string")), F.xxhash64(docs[text_col])), F.lit("rate"))
+    own = F.when(docs[id_col].isNotNull(), F.xxhash64(docs[id_col].cast("string"))).otherwise(F.xxhash64(docs[text_col]))  # xxhash64 of null isn't null
+    h = F.xxhash64(own, F.lit("rate"))
     return F.shiftrightunsigned(h, 11) / F.lit(float(1 << 53))
 
 

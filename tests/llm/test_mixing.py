@@ -101,6 +101,16 @@ def test_a_label_without_a_target_loses_nothing(spark, odd):
     assert {g.copies for g in m.mix(docs, docs, labels, targets={}).collect()} == {1}
 
 
+def test_null_ids_draw_by_their_text(spark):
+    data = [(None, f"w{i} of them", "en", 0.5) for i in range(400)] + [(None, "w7 of them", "en", 0.5)]
+    docs = spark.createDataFrame(data, SCHEMA)
+    model = m.DomainModel(["en"], np.zeros(0, np.uint64), np.zeros((0, 1)), np.zeros(1))
+    got = m.rate(docs, model, np.array([[-0.5]]), keep={"text": "text"}).collect()
+    assert {g.rate for g in got} == {1.5} and {g.copies for g in got} == {1, 2}
+    assert abs(sum(g.copies for g in got) - 1.5 * len(data)) < 50
+    assert len({g.copies for g in got if g.text == "w7 of them"}) == 1  # equal texts draw alike
+
+
 def test_odd_rows(spark):
     data = rows(100, 5)
     odd = [*data, (200, None, "en", None), (201, "", None, 1.0), (None, "der und", "de", 1.0), data[0], (202, "le " * 30000, "fr", 1.0)]
