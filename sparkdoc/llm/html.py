@@ -31,14 +31,16 @@ from pyspark.sql import types as T
 from sparkdoc.llm.classify import adam
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)(?:((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|([^>]*+)(?:>|\Z))",
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)"
+    # a quote opens a value only after "=": names, each with a value or not
+    r"(?:((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+))?+)*+)>|([^>]*+)(?:>|\Z))",
     re.S,
 )
 _ATTRIBUTE = re.compile(r"(?:^|[\s\"'])(class|id|role|aria-label|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _PART = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style template iframe textarea svg math object canvas".split())
+_RAW = frozenset("script style template iframe textarea".split())
 _BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav noscript ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split()
 )
@@ -107,11 +109,12 @@ def blocks(page: str | None) -> list[tuple[str, frozenset[str], str, int]]:
         if m.group(2) is None:
             continue
         tag = m.group(2).lower()
+        block = tag in _BLOCK and not (tag == "title" and opened.get("svg"))
         if m.group(1):
             if tag == "p" and not opened.get("p"):
                 flush()
             if opened.get(tag):
-                if tag in _BLOCK:
+                if block:
                     flush()
                     while stack[-1][0] != tag:
                         pop()
@@ -130,7 +133,7 @@ def blocks(page: str | None) -> list[tuple[str, frozenset[str], str, int]]:
             if not attributes.endswith("/") or tag in ("script", "style", "textarea", "template"):
                 end = re.compile(rf"</{tag}\b[^>]*+>?", re.I).search(page, pos)
                 pos = end.end() if end else len(page)
-            if tag in ("textarea", "iframe", "object", "canvas"):
+            if tag in ("textarea", "iframe"):
                 flush()
             continue
         if tag in _VOID:
@@ -139,7 +142,7 @@ def blocks(page: str | None) -> list[tuple[str, frozenset[str], str, int]]:
             elif tag == "br":
                 pieces.append(" ")
             continue
-        if tag not in _BLOCK:
+        if not block:
             if not attributes.endswith("/"):
                 if tag == "a":  # links don't nest
                     for k in range(len(stack) - 1, 0, -1):

@@ -41,6 +41,25 @@ def test_blocks(page, want):
     assert texts(page) == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<p>a <math><mi>x</mi></math> b<p>c", ["a x b", "c"]),
+        ("<p>a<object data=x><p>b<p>c", ["a", "b", "c"]),
+        ("<p>a <math>x<p>b", ["a x", "b"]),
+        ("<canvas><p>instead</p></canvas><p>b", ["instead", "b"]),
+        ("<p>a <svg><title>t</title><style>no</style><text>u</text></svg> b<p>c", ["a tu b", "c"]),
+        ("<p>a <svg><path d=''><p>b", ["a", "b"]),
+        ("<p><a title=don't href=/x>the link</a> and it's a long story.</p>", ["the link and it's a long story."]),
+        ("<p><a href=/x?q=\"y>z</a> \"w\"</p>", ["z \"w\""]),
+        ("<p title = 'a > b' x=\"c>d\"y='>'>in</p>", ["in"]),
+        ("<p 'a>in</p> it's", ["in", "it's"]),
+    ],
+)
+def test_no_text_is_lost(page, want):
+    assert texts(page) == want
+
+
 def test_ancestors():
     (block,) = h.blocks('<main><div class="advertSlot" role=banner><span class=menu><p>x')
     assert {"in main", "in div", "in p", "hint advert", "role banner"} - {"role banner"} <= block[1]
