@@ -37,22 +37,59 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def remove_path(spark: SparkSession, path: str) -> None:
+def _hadoop(spark: SparkSession, path: str):
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    target, files = _hadoop(spark, path)
+    files.delete(target, True)
 
 
 class Scratch:
-    """Tables written to the shared folder; ``drop`` and ``only`` free those no longer read."""
+    """Tables and folders in the shared folder; ``drop``, ``only`` and ``clear`` free those no longer read.
+
+    As a context manager it frees everything if its block fails. What a lazy result still reads when its operator
+    returns is freed at the latest when the application ends.
+    """
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
         self.tables: dict[int, tuple[DataFrame, str]] = {}  # holds the frames, so that no id is used again
+        self.folders: list[str] = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, failed: type | None, *_: object) -> None:
+        if failed:
+            self.clear()
+
+    def folder(self, tag: str) -> str:
+        """A fresh folder for other files than tables."""
+        path = fresh_path(self.spark, tag)
+        target, files = _hadoop(self.spark, path)
+        files.mkdirs(target)
+        files.deleteOnExit(target)
+        self.folders.append(path)
+        return path
+
+    def clear(self) -> None:
+        self.only()
+        while self.folders:
+            remove_path(self.spark, self.folders.pop())
 
     def keep(self, df: DataFrame, tag: str) -> DataFrame:
         """Write ``df`` once and return the written table, so that its lineage ends there."""
         path = fresh_path(self.spark, tag)
-        df.write.parquet(path)
+        try:
+            df.write.parquet(path)
+        except Exception:
+            remove_path(self.spark, path)  # a failed write leaves a part
+            raise
+        target, files = _hadoop(self.spark, path)
+        files.deleteOnExit(target)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.tables[id(out)] = (out, path)
         return out

@@ -21,6 +21,7 @@ Null ids draw by their text; repeated rows draw alike. Domains without expected
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,7 +40,8 @@ SAMPLE = 2000
 WORDS = 512
 #: Token weights of the domains of ``documents`` (its labelled rows tell the language).
 TARGETS = {"en": 0.5, "de": 0.18, "fr": 0.18, "es": 0.14}
-STEPS = 60
+#: Steps of the fit; they are free as long as no rate is projected. Those after that take a pass over the rows each.
+STEPS, PASSES = 500, 60
 #: Relative distance from every target at which the steps end.
 CLOSE = 1e-6
 #: Without a total, no step takes the rate of a pure wanted domain below this; bringing it to 1 again can grow the rows by its inverse.
@@ -83,7 +85,7 @@ def _draw(docs: DataFrame, id_col: str, text_col: str) -> Column:
 
 
 def membership(docs: DataFrame, model: DomainModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, posterior): one row per document."""
+    """(doc_id, draw, n_tokens, posterior): one row per document."""
 
     def kernel():
         def apply(data: np.ndarray, off: np.ndarray) -> list:
@@ -92,7 +94,8 @@ def membership(docs: DataFrame, model: DomainModel, id_col: str = "doc_id", text
 
         return apply
 
-    return map_texts(docs, text_col, {"doc_id": id_col}, [("n_tokens", T.LongType()), ("posterior", T.ArrayType(T.DoubleType()))], kernel)
+    source = docs.select(docs[id_col].alias("doc_id"), _draw(docs, id_col, text_col).alias("draw"), docs[text_col].alias("text"))
+    return map_texts(source, "text", {"doc_id": "doc_id", "draw": "draw"}, [("n_tokens", T.LongType()), ("posterior", T.ArrayType(T.DoubleType()))], kernel)
 
 
 def _rates(q: np.ndarray, steps: np.ndarray) -> np.ndarray:
@@ -107,30 +110,44 @@ def _matrix(column: pa.Array, k: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
 
 
-def _expected(members: DataFrame, steps: np.ndarray, k: int) -> np.ndarray:
-    """Expected tokens of each domain at the rates after ``steps``."""
+def _sum(members: DataFrame, k: int, size: int, part) -> np.ndarray:
+    """Sum of ``part(posteriors, tokens)``, ``size`` numbers, over all rows: one pass, one row a task is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(k)
+        total = np.zeros(size)
         for b in batches:
-            q, n = _matrix(b.column(1), k), b.column(0).to_numpy(zero_copy_only=False)
-            total += (n * _rates(q, steps)) @ q
+            total += part(_matrix(b.column(1), k), b.column(0).to_numpy(zero_copy_only=False).astype(np.float64))
         yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["s"])
 
-    part = members.select("n_tokens", "posterior").mapInArrow(run, "s array<double>")
-    row = part.agg(*[F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(k)]).first()
+    sums = members.select("n_tokens", "posterior").mapInArrow(run, "s array<double>")
+    row = sums.agg(*[F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(size)]).first()
     return np.array([x or 0.0 for x in row])
 
 
-def fit(members: DataFrame, domains: list[str], targets: dict[str, float], total: float | None = None, steps: int = STEPS, close: float = CLOSE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _expected(members: DataFrame, steps: np.ndarray, k: int) -> np.ndarray:
+    """Expected tokens of each domain at the rates after ``steps``."""
+    return _sum(members, k, k, lambda q, n: (n * _rates(q, steps)) @ q)
+
+
+def _gram(members: DataFrame, k: int) -> np.ndarray:
+    """Sums of tokens times posterior times posterior: all that the gradient needs while no rate is projected."""
+    return _sum(members, k, k * k, lambda q, n: ((q * n[:, None]).T @ q).ravel()).reshape(k, k)
+
+
+def fit(members: DataFrame, domains: list[str], targets: dict[str, float], total: float | None = None, steps: int = STEPS, passes: int = PASSES, close: float = CLOSE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Steps that lead to the rates; the token targets; the expected tokens reached.
 
     The first step sets the rates of domains that ``targets`` doesn't name. They take no part in the others: a
     stray label, of which the classifier sees a little in every document of its language, must not move that language.
+
+    A rate is a mean of the rates that pure documents have. While those are 0 or more after every step, no rate
+    was projected, the expected tokens are linear in the steps, and one pass over the rows serves them all; once
+    one falls below 0, each step takes a pass. Ending short of the targets is reported as a warning.
     """
     k = len(domains)
     made = np.zeros((0, k))
-    have = _expected(members, made, k)
+    gram = _gram(members, k)
+    have = gram.sum(axis=1)  # posteriors sum to 1
     weight = np.array([float(targets.get(d, 0.0)) for d in domains])
     weight[have <= 0] = 0
     unstated = np.array([d not in targets for d in domains]) & (have > 0)
@@ -144,18 +161,26 @@ def fit(members: DataFrame, domains: list[str], targets: dict[str, float], total
     best, velocity, now = made, np.zeros(k), have
     if unstated.any():
         best = np.where(unstated, 1 - whole / have.sum(), 0)[None, :]
-        now = _expected(members, best, k)
     stated = (have > 0) & ~unstated
-    pure = 1 - best.sum(axis=0)
+    pure, linear = np.ones(k), True
     floor = np.where(weight > 0, LEAST, -np.inf) if total is None else np.full(k, -np.inf)
-    for _ in range(steps):
+    left = steps
+    while True:
+        if len(best):
+            pure = 1 - best.sum(axis=0) if linear else pure
+            linear = linear and bool((pure >= 0).all())
+            now = have - gram @ best.sum(axis=0) if linear else _expected(members, best, k)
+            left = left if linear else min(left, passes)
         off = np.where(stated, (now - want) / scale, 0)
         if np.abs(off).max() <= close:
             break
-        velocity = np.minimum(0.3 * velocity + off, pure - floor)  # gradient with momentum; curvature is at most 1 after scaling
-        pure = pure - velocity
+        if left <= 0:
+            warnings.warn(f"the fit ended {np.abs(off).max():.2g} of a domain's tokens short of its targets: {dict(zip(domains, now.tolist(), strict=True))} for {dict(zip(domains, want.tolist(), strict=True))}", stacklevel=2)
+            break
+        left, passes = left - 1, passes - (not linear)
+        bound = 1 - best.sum(axis=0)
+        velocity = np.minimum(0.3 * velocity + off, bound - floor)  # gradient with momentum; curvature is at most 1 after scaling
         best = np.concatenate([best, velocity[None, :]])
-        now = _expected(members, best, k)
     return best, want, now
 
 
@@ -166,16 +191,32 @@ def plan(docs: DataFrame, labelled_docs: DataFrame, labels: DataFrame, domain_co
     projected, a rate is linear in the posterior and least at a pure domain; without a ``total`` the scale
     brings the least rate of a wanted domain to 1, so that no document is lost unless a stated weight is 0.
     """
+    with Scratch(docs.sparkSession) as scratch:
+        found = _plan(docs, labelled_docs, labels, domain_col, targets, total, limit, scratch)[:3]
+        scratch.clear()
+    return found
+
+
+def _plan(docs: DataFrame, labelled_docs: DataFrame, labels: DataFrame, domain_col: str, targets: dict[str, float] | None, total: float | None, limit: int, scratch: Scratch) -> tuple[DomainModel, np.ndarray, float, DataFrame]:
+    """As ``plan``, and the written members."""
     rows = [r for r in labelled(labelled_docs, labels, F.lit(0), limit, extra=(domain_col,)) if r[f"x_{domain_col}"] is not None]
     if not rows:
-        return DomainModel([""], np.zeros(0, np.uint64), np.zeros((0, 1)), np.zeros(1)), np.zeros((0, 1)), 1.0
+        none = DomainModel([""], np.zeros(0, np.uint64), np.zeros((0, 1)), np.zeros(1))
+        return none, np.zeros((0, 1)), 1.0, scratch.keep(membership(docs, none), "members")
     model = train([r.text for r in rows], [r[f"x_{domain_col}"] for r in rows])
-    scratch = Scratch(docs.sparkSession)
     members = scratch.keep(membership(docs, model), "members")
     steps, want, _ = fit(members, model.domains, TARGETS if targets is None else targets, total)
-    scratch.drop(members)
     least = _rates(np.eye(len(model.domains)), steps)[want > 0].min(initial=1.0)
-    return model, steps, 1 / least if total is None else 1.0
+    return model, steps, 1 / least if total is None else 1.0, members
+
+
+def _counted(rated: DataFrame, draw: str) -> DataFrame:
+    whole = F.floor(F.col("rate") + 1e-9)
+    copies = whole + (F.col(draw) < F.col("rate") - whole).cast("long")
+    return rated.withColumn("copies", copies.cast("long")).drop(draw)
+
+
+_RATED = [("domain", T.StringType()), ("p_domain", T.DoubleType()), ("n_tokens", T.LongType()), ("rate", T.DoubleType())]
 
 
 def rate(docs: DataFrame, model: DomainModel, steps: np.ndarray, scale: float = 1.0, id_col: str = "doc_id", text_col: str = "text", keep: dict[str, str] | None = None) -> DataFrame:
@@ -188,17 +229,26 @@ def rate(docs: DataFrame, model: DomainModel, steps: np.ndarray, scale: float =
 
         return apply
 
-    fields = [("domain", T.StringType()), ("p_domain", T.DoubleType()), ("n_tokens", T.LongType()), ("rate", T.DoubleType())]
-    source = docs.withColumn("__draw", _draw(docs, id_col, text_col))
-    rated = map_texts(source, text_col, {"doc_id": id_col, "__draw": "__draw", **(keep or {})}, fields, kernel)
-    whole = F.floor(F.col("rate") + 1e-9)
-    copies = whole + (F.col("__draw") < F.col("rate") - whole).cast("long")
-    return rated.withColumn("copies", copies.cast("long")).drop("__draw")
+    keep = keep or {}
+    source = docs.select(docs[id_col].alias("__id"), _draw(docs, id_col, text_col).alias("__draw"), *[docs[c].alias(k) for k, c in keep.items()], docs[text_col].alias("__text_"))
+    text = next((k for k, c in keep.items() if c == text_col), "__text_")
+    return _counted(map_texts(source, text, {"doc_id": "__id", "__draw": "__draw", **{k: k for k in keep}}, _RATED, kernel), "__draw")
+
+
+def mix(docs: DataFrame, labelled_docs: DataFrame, labels: DataFrame, domain_col: str = "lang", targets: dict[str, float] | None = None, total: float | None = None, limit: int = SAMPLE) -> DataFrame:
+    """Rates and copies of all documents: the text is read once, into its posterior, and never shuffled."""
+    with Scratch(docs.sparkSession) as scratch:
+        model, steps, scale, members = _plan(docs, labelled_docs, labels, domain_col, targets, total, limit, scratch)
+    k = len(model.domains)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            q = _matrix(b.column(3), k)
+            likeliest = [model.domains[i] for i in q.argmax(axis=1)] if len(q) else []
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(likeliest, pa.string()), pa.array(q.max(axis=1, initial=0.0)), b.column(2), pa.array(_rates(q, steps) * scale)], names=["doc_id", "draw", *[n for n, _ in _RATED]])
 
-def mix(docs: DataFrame, labelled_docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """Rates and copies of all documents; the text is read once to fit and once to rate, and never shuffled."""
-    return rate(docs, *plan(docs, labelled_docs, labels, **options))
+    schema = T.StructType([*members.schema.fields[:2], *[T.StructField(n, t) for n, t in _RATED]])
+    return _counted(members.mapInArrow(run, schema), "draw")
 
 
 def remix(docs: DataFrame, labelled_docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

@@ -101,6 +101,43 @@ def test_a_label_without_a_target_loses_nothing(spark, odd):
     assert {g.copies for g in m.mix(docs, docs, labels, targets={}).collect()} == {1}
 
 
+def test_fifth_language_keeps_targets(spark):
+    data = rows(500, 8)
+    rng = random.Random(9)
+    data += [(1000 + i, " ".join(rng.choices("il e di che".split() + [f"w{k}" for k in range(30)], k=90)), "it", 0.5) for i in range(60)]
+    docs = spark.createDataFrame(data, SCHEMA)
+    labels = spark.createDataFrame([(r[0],) for r in data], "doc_id long")
+    targets = {"en": 0.4, "de": 0.4, "fr": 0.2}
+    model, steps, scale = m.plan(docs, docs, labels, targets=targets)
+    got = {g.doc_id: g for g in m.mix(docs, docs, labels, targets=targets).collect()}
+    assert len(got) == len(data) and min(g.copies for g in got.values()) >= 1 and min(g.rate for g in got.values()) > 1 - 1e-9
+    assert {g.doc_id: pytest.approx(g.rate) for g in m.rate(docs, model, steps, scale).collect()} == {i: g.rate for i, g in got.items()}
+    q, n = model.posteriors(*as_bytes([r[1] for r in data]))
+    reached = (np.array([got[r[0]].rate for r in data]) * n) @ q
+    at = [model.domains.index(d) for d in targets]
+    assert np.allclose(reached[at] / reached[at].sum(), list(targets.values()), atol=1e-4)
+    assert all(g.copies >= 1 for g in m.mix(docs, docs, labels).collect())  # the default targets, of which this table has three
+
+
+def test_a_fit_that_ends_short_says_so(spark):
+    data = rows(200, 10)
+    docs = spark.createDataFrame(data, SCHEMA)
+    model = m.train([r[1] for r in data], [r[2] for r in data])
+    members = m.membership(docs, model).cache()
+    with pytest.warns(UserWarning, match="short of its targets"):
+        m.fit(members, model.domains, {"en": 0.2, "de": 0.6, "fr": 0.2}, steps=2)
+    with pytest.warns(UserWarning, match="short of its targets"):
+        m.fit(members, model.domains, {"en": 0.0, "de": 0.5, "fr": 0.5}, total=200.0, passes=1)
+
+
+def test_columns_of_clashing_names(spark):
+    data = [(*r, "a", "b", "c") for r in rows(60, 11)]
+    docs = spark.createDataFrame(data, SCHEMA + ", __draw string, __copy string, __c0 string")
+    labels = spark.createDataFrame([(r[0], "x", "y") for r in data], "doc_id long, lang string, text string")
+    out = m.remix(docs, docs, labels)
+    assert out.columns == docs.columns and {tuple(r)[4:] for r in out.collect()} == {("a", "b", "c")}
+
+
 def test_null_ids_draw_by_their_text(spark):
     data = [(None, f"w{i} of them", "en", 0.5) for i in range(400)] + [(None, "w7 of them", "en", 0.5)]
     docs = spark.createDataFrame(data, SCHEMA)
