@@ -3,8 +3,9 @@
 Writing: each task writes one archive of gzip members, a record per page, into the shared folder, and
 returns a capture run: index rows sorted by URL key and time. Of equal payloads of at least
 ``least_bytes`` bytes, the one with the largest page_id is a response and the others revisit it. Only
-digests, lengths and ids are shuffled to find that out, never payloads; the repeated payloads' table is
-broadcast if it is no larger than ``broadcast_rows``; otherwise only the hot ones are, and the rest is shuffled.
+digests, lengths and ids are shuffled to find that out; the repeated payloads' table is broadcast if it is no
+larger than ``broadcast_rows``. Beyond that only the hot ones are, with a bitmap of fixed size of the digests'
+first bits: payloads that the bitmap tells apart from all repeated ones stay where they are, and the rest is shuffled.
 
 Index: runs are exchanged by ranges of (URL key, time, id), so that a URL with very many captures spans
 several ranges, and each range merges its runs with a loser tree (tournament tree): one comparison per
@@ -14,6 +15,7 @@ result is one global order, with every capture's number in the history of its UR
 Reading: the archives are read from start to end and parsed; a revisit's payload is that of the record it
 refers to, as its headers say.
 
+Captures follow page_id; beyond about 4000 years of seconds their times stand still and the id alone orders them.
 A null html is an empty payload; a null URL is written as urn:page and the id, and its key is that; a null page_id
 is never referred to and its record is a response. Rows repeated with the largest page_id are responses all.
 Unpaired or control characters in URLs are percent-encoded. An empty table gives no rows.
@@ -38,11 +40,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkdoc.llm._spark import HOT_SHARE, Scratch, fresh_path
+from sparkdoc.llm._spark import HOT_SHARE, Scratch, remove_path
 
 LEAST_BYTES = 1000
 #: Repeated payloads (a row of about 60 bytes each) that are broadcast.
 BROADCAST_ROWS = 250_000
+#: First bits of a digest that index the bitmap, of which at most 2 ** (BITS - 6) words of 64 bits (2 million) are broadcast.
+BITS = 27
 #: Index rows that one range should merge.
 RANGE_ROWS = 100_000
 _EPOCH = datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC)
@@ -65,8 +69,9 @@ def url_key(url: str) -> str:
 
 
 def capture_time(page_id: int | None) -> str:
-    """Time of a capture; pages have none of their own, so it follows the id."""
-    return (_EPOCH + datetime.timedelta(seconds=(page_id or 0) % (10**9))).strftime("%Y-%m-%dT%H:%M:%SZ")
+    """Time of a capture; pages have none of their own, so it follows the id, never falling, as far as years of four digits go."""
+    at = _EPOCH + datetime.timedelta(seconds=min(max(page_id or 0, -(2**34)), 2**37))
+    return at.replace(tzinfo=None).isoformat() + "Z"
 
 
 def record_id(page_id: int | None, digest: str, row: int) -> str:
@@ -205,23 +210,29 @@ def _writer(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 
 
 def write(pages: DataFrame, folder: str, scratch: Scratch, least_bytes: int = LEAST_BYTES, broadcast_rows: int = BROADCAST_ROWS, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Write archives into ``folder``; the index, in sorted runs."""
+    """Write archives into ``folder``, which must exist; the index, in sorted runs."""
     html = F.coalesce(pages[html_col].cast("string"), F.lit(""))
     rows = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"))
     large = pages.select(pages[id_col].cast("long").alias("page_id"), F.octet_length(html).alias("size"), F.sha1(html.cast("binary")).alias("digest")).where((F.col("size") >= least_bytes) & F.col("page_id").isNotNull())
     repeated = scratch.keep(large.groupBy("digest").agg(F.max("page_id").alias("newest"), F.count("*").alias("n")).where("n > 1"), "repeated")
-    if repeated.count() <= broadcast_rows:
-        joined = rows.join(F.broadcast(repeated), "digest", "left")
-    else:  # payloads of a thousandth of all rows or more are at most 1000, and are broadcast; the others are shuffled
-        hot = repeated.where(F.col("n") > pages.count() * HOT_SHARE)
-        rest = rows.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(repeated.join(F.broadcast(hot.select("digest")), "digest", "left_anti"), "digest", "left")
-        joined = rows.join(F.broadcast(hot), "digest").unionByName(rest)
+    joined = rows.join(F.broadcast(repeated), "digest", "left") if repeated.count() <= broadcast_rows else _routed(rows, repeated, pages.count())
     target = F.when(F.col("page_id") < F.col("newest"), F.col("newest"))
-    local = pages.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    local.getFileSystem(pages.sparkSession.sparkContext._jsc.hadoopConfiguration()).mkdirs(local)
     return scratch.keep(joined.select("page_id", "url", "html", "digest", target.alias("refers_to")).mapInArrow(_writer(folder), _INDEX), "runs")
 
 
+def _routed(rows: DataFrame, repeated: DataFrame, total: int) -> DataFrame:
+    """``rows`` left-joined with ``repeated`` by digest; only rows whose digest's first bits are those of a repeated one that isn't hot are shuffled."""
+    hot = repeated.where(F.col("n") > total * HOT_SHARE)  # at most 1 / HOT_SHARE
+    rare = repeated.join(F.broadcast(hot.select("digest")), "digest", "left_anti")
+    prefix = F.conv(F.substring("digest", 1, 8), 16, 10).cast("long").bitwiseAND(F.lit((1 << BITS) - 1))
+    word, bit = F.shiftright(prefix, 6), F.call_function("shiftleft", F.lit(1).cast("long"), prefix.bitwiseAND(F.lit(63)).cast("int"))
+    bitmap = rare.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+    marked = rows.withColumn("word", word).join(F.broadcast(bitmap), "word", "left").join(F.broadcast(hot), "digest", "left")
+    away = F.col("newest").isNull() & (F.coalesce(F.col("bits"), F.lit(0).cast("long")).bitwiseAND(bit) != 0)
+    here = marked.where(~away).select(*rows.columns, "newest", "n")
+    return here.unionByName(marked.where(away).select(*rows.columns).join(rare, "digest", "left"))
+
+
 def merge_index(runs: DataFrame, scratch: Scratch, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Capture histories from sorted runs: the index in global order (pid, idx), with capture_no from 0 within each URL key."""
     order = ["urlkey", "captured", "page_id", "file", "offset"]
@@ -284,13 +295,20 @@ def read(files: DataFrame, folder: str) -> DataFrame:
 
 
 def archive(pages: DataFrame, folder: str | None = None, **options) -> DataFrame:
-    """Write, merge the index, read back: page_id, payload_bytes, payload_digest, record_type, refers_to, urlkey, capture_no."""
-    spark = pages.sparkSession
-    scratch = Scratch(spark)
-    folder = folder or fresh_path(spark, "warc")
-    runs = write(pages, folder, scratch, **options)
-    history = merge_index(runs, scratch)
-    names = scratch.keep(runs.groupBy("file").agg(F.max(F.col("offset") + F.col("length")).alias("bytes")), "files")
-    files = names.repartition(max(1, names.count()), "file").select("file")
-    found = read(files, folder).join(history.select("file", "offset", "urlkey", "capture_no"), ["file", "offset"])
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "capture_no")
+    """Write, merge the index, read back: page_id, payload_bytes, payload_digest, record_type, refers_to, urlkey, capture_no.
+
+    Archives in a ``folder`` of the caller's stay there; without one they are gone when this returns.
+    """
+    with Scratch(pages.sparkSession) as scratch:
+        target = folder or scratch.folder("warc")
+        runs = write(pages, target, scratch, **options)
+        history = merge_index(runs, scratch)
+        names = scratch.keep(runs.groupBy("file").agg(F.max(F.col("offset") + F.col("length")).alias("bytes")), "files")
+        files = names.repartition(max(1, names.count()), "file").select("file")
+        # Spark takes what is read for as small as the list of files: it must not broadcast it
+        found = read(files, target).hint("merge").join(history.select("file", "offset", "urlkey", "capture_no").hint("merge"), ["file", "offset"])
+        out = scratch.keep(found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "capture_no"), "records")
+        scratch.only(out)
+        if not folder:
+            remove_path(pages.sparkSession, scratch.folders.pop())
+    return out

@@ -9,7 +9,9 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
+from sparkdoc.llm import _spark
 from sparkdoc.llm import warc as w
 from sparkdoc.llm._spark import Scratch
 
@@ -50,7 +52,7 @@ def test_round_trip(spark, broadcast_rows):
 def test_history_of_a_url_that_spans_ranges(spark):
     pages = spark.createDataFrame(rows(), "page_id long, url string, html string, digest string").repartition(4)
     scratch = Scratch(spark)
-    runs = w.write(pages, w.fresh_path(spark, "warc"), scratch)
+    runs = w.write(pages, scratch.folder("warc"), scratch)
     got = sorted((r.pid, r.idx, r.urlkey, r.captured, r.page_id is not None, r.page_id or 0, r.capture_no) for r in w.merge_index(runs, scratch, range_rows=40).collect())
     assert len({g[0] for g in got}) > 3
     keys = [g[2:6] for g in got]
@@ -61,6 +63,31 @@ def test_history_of_a_url_that_spans_ranges(spark):
         seen[g[2]] += 1
 
 
+def test_large_ids_keep_their_order(spark):
+    ids = [5, 10**9 - 1, 10**9, 3 * 10**9, 2**40, 2**62, -7, -(2**50), None]
+    assert [w.capture_time(i) for i in sorted(i for i in ids if i is not None)] == sorted(w.capture_time(i) for i in ids if i is not None)
+    got = w.archive(spark.createDataFrame([(i, "http://a/", f"x{i}") for i in ids], "page_id long, url string, html string")).collect()
+    mine = {r.page_id: r.capture_no for r in got}
+    known = sorted(i for i in ids if i is not None)
+    assert sorted(known, key=mine.get) == known
+
+
+def test_nothing_large_is_broadcast_and_nothing_stays(spark, tmp_path, monkeypatch):
+    plans = []
+    kept = Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, tag: (plans.append((tag, df._jdf.queryExecution().executedPlan().toString())), kept(self, df, tag))[1])
+    monkeypatch.setattr(_spark, "shared_dir", lambda spark: f"file://{tmp_path}/shared")
+    pages = spark.createDataFrame(rows(), "page_id long, url string, html string, digest string")
+    got = w.archive(pages)
+    joined = dict(plans)["records"]
+    assert "SortMergeJoin" in joined and joined.count("BroadcastExchange") <= 2  # where a URL's count goes on; hot payloads
+    stays = lambda: [p.name.split("-")[0] for p in (tmp_path / "shared").iterdir()]
+    assert stays() == ["records"] and got.count() == len(rows())
+    with pytest.raises(Exception, match="no"):
+        w.archive(pages.withColumn("html", F.raise_error(F.lit("no")).cast("string")))
+    assert stays() == ["records"]
+
+
 def test_loser_tree():
     rng = random.Random(1)
     for k in (0, 1, 2, 3, 5, 8, 13):
