@@ -1,7 +1,9 @@
 """Secret scans: Aho-Corasick keywords, anchored expressions at the hits, then checksums inside the token.
 
-One automaton finds the keywords of all kinds in a pass over the whole text; an expression is tried
-only where one of its keywords begins. Kinds:
+One automaton finds the keywords of all kinds in a pass over the whole text; an expression is tried only where
+one of its keywords begins. Hexadecimal runs have no keyword: one expression goes over the text for them. All
+is linear in a text: a match takes its characters, and where a token's parts fail, later keywords in the same
+part, which would fail alike, are passed over. Kinds:
 
 * ``assign``, ``access``, ``hex``: the base kinds (a name set to a value, an access key id, a hexadecimal run).
 * ``forge`` (``ghp_`` and its like) and ``package`` (``npm_``): tokens whose last six characters must be the
@@ -42,8 +44,9 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _FORGE = re.compile(r"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
 _PACKAGE = re.compile(r"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
-_JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+")
-_PEM = re.compile(r"-----BEGIN ((?:[A-Z]+ )?PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+_JWT = re.compile(r"(eyJ[A-Za-z0-9_-]++)\.(eyJ[A-Za-z0-9_-]++)\.[A-Za-z0-9_-]++")
+_PEM = re.compile(r"-----BEGIN ((?:[A-Z]++ )?PRIVATE KEY)-----([A-Za-z0-9+/=\s]++)-----END \1-----")
+_PART = re.compile(r"[A-Za-z0-9_-]++")
 _DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
@@ -113,15 +116,17 @@ def scan(text: str | None, words: ahocorasick.Automaton) -> list[tuple[int, int,
     if len(low) != len(text):  # a few letters change length; ASCII ones don't
         low = text.translate(_UPPER)
     found = [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
-    over = dict.fromkeys(KINDS, 0)
+    over, failed = dict.fromkeys(KINDS, 0), 0
     hits = sorted(((stop - size + 1, rule) for stop, (size, rule) in words.iter(low)), key=lambda h: h[0])
     for start, (kind, expression, valid) in hits:
-        if start < over[kind]:
+        if start < over[kind] or kind == "jwt" and start < failed:
             continue
         if m := expression.match(text, start):
             over[kind] = m.end()
             if valid(m):
                 found.append((start, KINDS.index(kind), m.end()))
+        elif kind == "jwt" and text.startswith("eyJ", start):
+            failed = _PART.match(text, start).end()  # what follows this part decides for every start in it
     found.sort()
     return found
 

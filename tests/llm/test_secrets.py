@@ -7,6 +7,7 @@ import hashlib
 import json
 import random
 import re
+import time
 
 from sparkdoc.llm import secrets as s
 
@@ -52,6 +53,40 @@ def test_checksummed_kinds():
     assert s.scan(pem.replace(der, "AAAA"), words) == []
 
 
+def jwt_brute(text: str) -> list[tuple[int, int]]:
+    """Every start in turn, without memory."""
+    found, at = [], 0
+    while at < len(text):
+        m = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+").match(text, at)
+        if m and s._jose(m):
+            found.append((m.start(), m.end()))
+        at = m.end() if m else at + 1
+    return found
+
+
+def test_tokens_match_every_start_in_turn():
+    rng, words = random.Random(8), s.automaton()
+    part = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
+    pieces = [part({"alg": "HS256"}), part({"sub": 1}), "eyJ", "EYJ", "eyj", ".", ".", ".", "x", "-", " ", "abc", part({"alg": "none"}) + ".eyJ"]
+    cases = ["".join(rng.choices(pieces, k=rng.randrange(1, 14))) for _ in range(4000)]
+    for t in cases:
+        assert [(a, b) for a, k, b in s.scan(t, words) if k == 5] == jwt_brute(t), t
+    assert sum(bool(jwt_brute(t)) for t in cases) > 50
+
+
+def test_long_adversarial_texts_take_linear_time():
+    words = s.automaton()
+    pieces = ["eyJ", "eyJ.", "eyJa.eyJ", "eyJa.eyJb.", "token", "token=", "password ", "-----BEGIN ", "-----BEGIN PRIVATE KEY-----A", "AKIA", "ghp_", "0123456789abcde ", "a" * 15 + "g", "-----BEGIN A"]
+    for piece in pieces:
+        begun = time.perf_counter()
+        s.scan(piece * ((1 << 20) // len(piece)), words)
+        assert time.perf_counter() - begun < 5, piece
+    for text in ("token" + " " * (1 << 20), "-----BEGIN PRIVATE KEY-----" + "A" * (1 << 20), "eyJ" + "a" * (1 << 20) + ".eyJ" + "b" * (1 << 20)):
+        begun = time.perf_counter()
+        s.scan(text, words)
+        assert time.perf_counter() - begun < 5
+
+
 def test_query_columns(spark):
     rows = [(1, "token=abcdefghijklmnop", "x"), (1, "token=abcdefghijklmnop", "x"), (2, None, None), (None, "AKIA" + "A" * 14, "y"), (3, "é " * 50_000 + "f" * 16, "z")]
     got = s.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, spans string")).collect()
