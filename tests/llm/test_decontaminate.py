@@ -5,10 +5,12 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
 from sparkdoc.llm import decontaminate as d
+from sparkdoc.llm._text import as_bytes
 
 DOCS = "doc_id long, text string, lang string, items string, row string"
 
@@ -60,6 +62,34 @@ def test_matches_brute_force(spark, tmp_path, block_bytes):
     assert sum(w[5] for w in want) > 5
 
 
+def test_repeats_on_both_sides_take_linear_time():
+    """Equal words, equal items and long words: each place of a document is looked up once."""
+    for text, passage in (("same " * 20000, "same " * 20000), ("a b " * 10000, "b a " * 10000), ("x" * 200_000 + " same" * 20000, "same " * 9)):
+        begun = time.perf_counter()
+        bench = d.Benchmark([("1", passage), ("2", passage), ("3", passage)])
+        words = d.Words.of(*as_bytes([text]))
+        p, n, of = bench.hits(words)
+        assert time.perf_counter() - begun < 5
+        doc, item = tokens(text), tokens(passage)
+        windows = {tuple(item[i : i + 8]) for i in range(2)}
+        assert len(p) == sum(tuple(doc[k : k + 8]) in windows for k in range(len(doc) - 7))
+        assert {tuple(bench.sets[x]) for x in of} == {(0, 1, 2)}
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 200])
+def test_hot_windows_and_repeated_texts(spark, block_bytes):
+    """A passage in a third of all documents and in all items; columns of names that are used inside."""
+    passage = "one two three four five six seven eight nine"
+    docs = [(i, f"head {i} {passage} tail" if i % 3 else f"nothing {i}", "k", "v", "w") for i in range(300)] + [(1000 + i, passage, "k", "v", "w") for i in range(200)]
+    items = [(i, f"{passage} item {i} " + "filler words here " * 4) for i in range(40)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, __digest string, n_words string, digest string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = d.decontaminate(frame, bench, block_bytes=block_bytes).collect()
+    assert sorted(map(tuple, got)) == sorted((r[0], *brute(r[1], items)) for r in docs)
+    kept = d.drop_contaminated(frame, bench, min_items=1, block_bytes=block_bytes)
+    assert kept.columns == frame.columns and sorted(map(tuple, kept.collect())) == [r for r in docs if not brute(r[1], items)[2]]
+
+
 def test_empty_tables(spark):
     docs, items = fixture()
     none = spark.createDataFrame([], "item_id long, text string")
