@@ -46,6 +46,7 @@ _BLOCK = frozenset(
 )
 #: Open elements that a start tag ends, as long as nothing but inline elements is open inside them.
 _ENDS = {"li": {"li", "p"}, "dd": {"dd", "dt", "p"}, "dt": {"dd", "dt", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}, "optgroup": {"option", "optgroup"}, "body": {"head", "title"}}
+_ROLES = frozenset("alert alertdialog article banner complementary contentinfo dialog document form main menu menubar navigation note search status toolbar".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _TELLING = {
     "advert": "ad ads adv advert advertisement adsense adslot adbox sponsor sponsored promo promotion promoted banner dfp outbrain taboola",
@@ -69,8 +70,8 @@ def _hints(attributes: str) -> list[str]:
     for name, value in _ATTRIBUTE.findall(attributes):
         for part in _PART.findall(_CAMEL.sub(" ", value).lower()):
             found += _GROUPS.get(part, ())
-        if name.lower() == "role":
-            found.append("role " + value.strip("\"' ").lower()[:20])
+        if name.lower() == "role" and (role := value.strip("\"' ").lower()) in _ROLES:
+            found.append("role " + role)
     return found
 
 
@@ -78,8 +79,9 @@ def blocks(page: str | None) -> list[tuple[str, frozenset[str], str, int]]:
     """Leaf blocks in page order: (innermost block tag, features of the ancestors, text, characters of links)."""
     out: list[tuple[str, frozenset[str], str, int]] = []
     page = page or ""
-    stack: list[tuple[str, frozenset[str], bool, str]] = [("", frozenset(), True, "")]  # tag, features, block, innermost block tag
-    opened: dict[str, int] = {}
+    # open blocks, innermost last: tag, features, and the open inline elements inside, by tag
+    stack: list[tuple[str, frozenset[str], dict[str, int]]] = [("", frozenset(), {})]
+    opened: dict[str, int] = {}  # open elements by tag
     pieces: list[str] = []
     linked, pos = 0, 0
 
@@ -88,12 +90,15 @@ def blocks(page: str | None) -> list[tuple[str, frozenset[str], str, int]]:
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                out.append((stack[-1][3], stack[-1][1], text, linked))
+                out.append((stack[-1][0], stack[-1][1], text, linked))
             pieces.clear()
         linked = 0
 
     def pop() -> None:
-        opened[stack.pop()[0]] -= 1
+        tag, _, inline = stack.pop()
+        opened[tag] -= 1
+        for name, n in inline.items():
+            opened[name] -= n
 
     while True:
         m = _TOKEN.search(page, pos)
@@ -109,7 +114,10 @@ def blocks(page: str | None) -> list[tuple[str, frozenset[str], str, int]]:
         if m.group(2) is None:
             continue
         tag = m.group(2).lower()
-        block = tag in _BLOCK and not (tag == "title" and opened.get("svg"))
+        if tag == "title" and opened.get("svg"):
+            tag = "svg title"
+        block = tag in _BLOCK
+        inline = stack[-1][2]
         if m.group(1):
             if tag == "p" and not opened.get("p"):
                 flush()
@@ -119,19 +127,14 @@ def blocks(page: str | None) -> list[tuple[str, frozenset[str], str, int]]:
                     while stack[-1][0] != tag:
                         pop()
                     pop()
-                else:  # an inline end tag doesn't reach beyond its block
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k][0] == tag:
-                            opened[tag] -= 1
-                            del stack[k]
-                            break
-                        if stack[k][2]:
-                            break
+                elif inline.get(tag):  # an inline end tag doesn't reach beyond its block
+                    inline[tag] -= 1
+                    opened[tag] -= 1
             continue
         attributes = m.group(3) if m.group(3) is not None else m.group(4) or ""
         if tag in _RAW:
             if not attributes.endswith("/") or tag in ("script", "style", "textarea", "template"):
-                end = re.compile(rf"</{tag}\b[^>]*+>?", re.I).search(page, pos)
+                end = _raw_end(tag).search(page, pos)
                 pos = end.end() if end else len(page)
             if tag in ("textarea", "iframe"):
                 flush()
@@ -143,36 +146,28 @@ def blocks(page: str | None) -> list[tuple[str, frozenset[str], str, int]]:
                 pieces.append(" ")
             continue
         if not block:
-            if not attributes.endswith("/"):
-                if tag == "a":  # links don't nest
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k][2]:
-                            break
-                        if stack[k][0] == "a":
-                            opened["a"] -= 1
-                            del stack[k]
-                            break
-                stack.append((tag, stack[-1][1], False, stack[-1][3]))
+            if not attributes.endswith("/") and not (tag == "a" and inline.get("a")):  # links don't nest: a second one ends the first
+                inline[tag] = inline.get(tag, 0) + 1
                 opened[tag] = opened.get(tag, 0) + 1
             continue
         flush()
         ends = _ENDS.get(tag, {"p"})
-        while True:  # close what this tag implies closed
-            k = len(stack) - 1
-            while k and not stack[k][2]:
-                k -= 1
-            if stack[k][0] not in ends and not (stack[k][0] in _HEADINGS and tag in _HEADINGS):
-                break
-            while len(stack) > k:
-                pop()
+        while stack[-1][0] in ends or stack[-1][0] in _HEADINGS and tag in _HEADINGS:  # close what this tag implies closed
+            pop()
         features = {f"in {tag}", *(f"hint {h}" for h in _hints(attributes))} if attributes else {f"in {tag}"}
         above = stack[-1][1]
-        stack.append((tag, above if features <= above else above | features, True, tag))
+        stack.append((tag, above if features <= above else above | features, {}))
         opened[tag] = opened.get(tag, 0) + 1
     flush()
     return out
 
 
+@functools.cache
+def _raw_end(tag: str) -> re.Pattern:
+    """End of an element of ``_RAW``."""
+    return re.compile(rf"</{tag}\b[^>]*+>?", re.I)
+
+
 _END = re.compile(r"[.!?…:;\"”»)]$")
 _MARKS = {"copyright": re.compile("©|\\(c\\)|copyright|all rights", re.I), "digits": re.compile(r"\d")}
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -101,6 +102,18 @@ def test_held_out_pages():
     assert right / total > 0.99 and whole / len(pages) > 0.9
 
 
+def test_nested_pages_take_linear_time():
+    n = 100_000
+    pages = ["<i>" * n + "<a>" * n, "<u><p>" + "<b>" * n + "</u>" * n, "<a>x" * n, "<div>" * n + "</div>" * n, "<b>x</i>" * n, "<ul><li>" * n, "<a href='" * n, "<!--" * n, "<div role=" + "x" * n + ">"]
+    pages.append("".join(f"<div role=r{k} class=c{k}>x" for k in range(n)))
+    for page in pages:
+        begun = time.perf_counter()
+        h.blocks(page)
+        assert time.perf_counter() - begun < 5, page[:40]
+    assert texts("<p>a<i>b<b>c</i>d<p>e</b>f</i>g") == ["abcd", "efg"]
+    assert texts("<svg><title>t</title></svg><title>u</title><p>v") == ["t", "u", "v"]
+
+
 def test_long_and_odd_pages(spark):
     chain = h.model()
     assert h.main_text("<article>" + "<p>some words here.</p>" * 20000 + "</article>", chain).count("some") == 20000
