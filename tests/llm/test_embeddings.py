@@ -77,6 +77,28 @@ def test_recursion_skips_only_what_is_far():
         assert got == set(zip(*np.nonzero(x @ y.T >= threshold), strict=True))
 
 
+def test_ties_are_decided_by_exact_sums():
+    """Parallel vectors have a cosine of 1, whatever the product of their rounded units is."""
+    a = np.array([[0.1, 0.2, 0.3], [1 / 3, 1 / 7, 0.9], [0.7, 0.1, 0.9]])
+    x, y, none = e.unit(a.ravel(), 3), e.unit((a * 3).ravel(), 3), np.zeros((3, 0))
+    exact = lambda i, j: e.exact_cosine(a[i], 3 * a[j])
+    assert {(int(i), int(j)) for u, v in e.join_intervals(x, none, y, none, False, 1.0, exact=lambda i, j: float(i == j)) for i, j in zip(u, v, strict=True)} == {(0, 0), (1, 1), (2, 2)}
+    assert all(abs(exact(k, k) - 1) <= 2.3e-16 for k in range(3))
+    assert not list(e.join_intervals(x, none, y, none, False, 1.0, exact=lambda i, j: 0.0))
+    f = np.array([3.0, 4.0], np.float32)
+    assert e.exact_cosine(f, np.array([1.0, 0.0], np.float32)) == 0.6 and e.exact_cosine(np.array([1e200, 0.0]), np.array([1e200, 1e-200])) == 1
+
+
+def test_rows_go_only_to_near_intervals():
+    """Copies of a vector: none in a table of far clusters, and no more as it grows, while intervals are few."""
+    assert e.interval_rows(1000, 64) == e.interval_rows(100_000, 64) == 4096 and e.interval_rows(500_000, 64) == 15_625 and e.interval_rows(10**8, 64) == 32_768 and e.interval_rows(10**8, 4096) == 2048
+    box = lambda k, first, lo, hi: {"pid": k, "first": first, "last": first, "lo": np.array(lo), "hi": np.array(hi)}
+    meta = [box(0, ("a", 3), [0.0, 0.0], [1.0, 1.0]), box(1, ("a", 3), [1.2, 0.0], [2.0, 1.0]), box(2, ("a", 3), [1.5, 0.0], [2.0, 1.0]), box(3, ("b", 3), [0.0, 0.0], [1.0, 1.0])]
+    assert [e.near_intervals(meta, k, 0.4) for k in range(4)] == [[1], [0, 2], [1], []]
+    meta.append(meta.pop() | {"last": ("c", 9)})
+    assert e.near_intervals(meta, 3, 0.4) == []
+
+
 def test_empty(spark):
     table = spark.createDataFrame(rows(), "vec_id long, embedding array<double>, label int, v int")
     assert e.near_duplicates(table.limit(0)).count() == 0
