@@ -1,19 +1,22 @@
 """Text classifiers trained on a bounded sample of labelled rows: hashed words, screened, and linear models.
 
 The sample is the documented ``limit`` of labelled rows, taken by the smallest hash of their id: the
-same rows at every run, spread over all sources. Everything else (scores, sums, rates) covers all rows.
+same rows at every run, spread over all sources. Its texts are counted where they lie; the driver gets the chosen
+words and, of each row, the counts of those. Everything else (scores, sums, rates) covers all rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sparkdoc.llm._spark import slices
+from sparkdoc.llm._spark import Scratch, map_texts, slices, text_buffer
 from sparkdoc.llm._text import as_bytes, distinct_words, word_counts
 
 #: Labelled rows that a classifier is trained on.
@@ -26,17 +29,72 @@ CHUNK = 1 << 20
 TELLING = 12.0
 
 
-def labelled(docs: DataFrame, labels: DataFrame, grade: Column, limit: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = ()) -> list:
-    """At most ``limit`` labelled rows on the driver, as rows (id, text, y, *extra), ordered by id.
+def labelled(docs: DataFrame, labels: DataFrame, grade: Column, scratch: Scratch, limit: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", kind_col: str | None = None) -> DataFrame:
+    """At most ``limit`` labelled rows, written: id, y, kind (of ``kind_col``), text. Texts stay with the executors.
 
-    Rows without an id or a grade are no labels; of several labels of one id the largest counts, of
-    several documents of one id that of the smallest text.
+    Rows without an id, a grade or, if asked for, a kind are no labels; of several labels of one id the largest counts,
+    of several documents of one id that of the smallest text.
     """
     wanted = labels.select(labels[id_col].alias("__id"), grade.alias("y")).where("__id is not null and y is not null").groupBy("__id").agg(F.max("y").alias("y"))
     wanted = wanted.orderBy(F.xxhash64("__id"), "__id").limit(2 * limit)  # twice as many: some may have no document
-    texts = docs.select(docs[id_col].alias("__id"), docs[text_col].cast("string").alias("text"), *[docs[c].alias(f"x_{c}") for c in extra])
-    rows = texts.join(F.broadcast(wanted), "__id").groupBy("__id", "y").agg(F.min(F.struct("text", *[f"x_{c}" for c in extra])).alias("d"))
-    return rows.orderBy(F.xxhash64("__id"), "__id").limit(limit).select(F.col("__id").alias("id"), "y", "d.*").collect()
+    kind = docs[kind_col].cast("string") if kind_col else F.lit("")
+    found = docs.where(kind.isNotNull()).select(docs[id_col].alias("__id")).join(F.broadcast(wanted), "__id").distinct()  # reads no text
+    chosen = scratch.keep(found.orderBy(F.xxhash64("__id"), "__id").limit(limit), "chosen")
+    texts = docs.where(kind.isNotNull()).select(docs[id_col].alias("__id"), docs[text_col].cast("string").alias("text"), kind.alias("kind"))
+    rows = texts.join(F.broadcast(chosen), "__id").groupBy("__id", "y").agg(F.min(F.struct("text", "kind")).alias("d"))
+    return scratch.keep(rows.select(F.col("__id").alias("id"), "y", "d.kind", "d.text"), "sample")
+
+
+def vocabulary_of(sample: DataFrame, group: Column, size: int, least: int = 5, prefixes: tuple[int, ...] = ()) -> np.ndarray:
+    """As ``screen``, of a table with the column text, by the classes ``group``; only the chosen words come to the driver."""
+    rows = sample.select(group.cast("string").alias("k"), "text")
+    classes = {r[0]: r[1] for r in rows.groupBy("k").count().collect()}  # at most the rows of a sample
+    total = sum(classes.values())
+    if len(classes) < 2:
+        return np.zeros(0, np.uint64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k, names = np.unique(np.array(batch.column(0).to_pylist(), dtype=object).astype(str), return_inverse=True)
+            data, off = text_buffer(batch.column(1))
+            for i, j in slices(off, CHUNK):
+                docs, hashes = distinct_words(data[off[i] : off[j]], off[i : j + 1] - off[i], prefixes)
+                for g in range(len(k)):
+                    h, n = np.unique(hashes[names[i + docs] == g], return_counts=True)
+                    if len(h):
+                        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array([k[g]] * len(h), pa.string()), pa.array(n)], names=["h", "k", "n"])
+
+    seen = rows.mapInArrow(count, "h long, k string, n long").groupBy("h", "k").agg(F.sum("n").alias("n"))
+    df = F.sum("n").over(Window.partitionBy("h"))
+    of = F.element_at(F.create_map(*[F.lit(x) for pair in classes.items() for x in (pair[0], float(pair[1]))]), F.col("k"))
+    term = lambda x, y: F.when(x > 0, x * F.log(x / y)).otherwise(0.0)
+    n, whole, rest = F.col("n").cast("double"), F.lit(float(total)), F.lit(float(total)) - F.col("df")
+    # classes that never hold the word bring n_k log(N / (N - df)) each
+    g = term(n, F.col("df") * of / whole) + term(of - n, rest * of / whole) - F.when(rest > 0, of * F.log(whole / rest)).otherwise(0.0)
+    scored = seen.withColumn("df", df.cast("double")).where(F.col("df") >= least).select("h", "df", g.alias("g"))
+    scored = scored.groupBy("h", "df").agg(F.sum("g").alias("g")).select("h", (F.col("g") + F.when(rest > 0, whole * F.log(whole / rest)).otherwise(0.0)).alias("g"))
+    best = scored.where(F.col("g") > TELLING).orderBy(F.desc("g"), "h").limit(size).select("h").collect()
+    return np.sort(np.array([r[0] for r in best], np.int64).view(np.uint64))
+
+
+def features_of(sample: DataFrame, vocabulary: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[Sparse, list]:
+    """Features of a sample's texts as of ``presence``, at most as many a row as there are words; and the rows (id, y, kind), in one order at every run."""
+
+    def kernel():
+        def apply(data: np.ndarray, off: np.ndarray) -> list:
+            row, col, n, _ = word_counts(data, off, vocabulary, prefixes)
+            cut = np.searchsorted(row, np.arange(len(off)))
+            part = lambda x: pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x, pa.int64()))
+            return [part(col), part(n)]
+
+        return apply
+
+    lists = T.ArrayType(T.LongType())
+    found = map_texts(sample, "text", {c: c for c in ("id", "y", "kind")}, [("col", lists), ("n", lists)], kernel)
+    rows = found.orderBy(F.xxhash64("id"), "id").collect()
+    size = [len(r.col) for r in rows]
+    flat = lambda c: np.array([x for r in rows for x in r[c]], np.int64)
+    return Sparse(np.repeat(np.arange(len(rows)), size), flat("col"), np.log2(1.0 + flat("n")), len(rows)), rows
 
 
 @dataclass

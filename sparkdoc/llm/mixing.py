@@ -33,11 +33,12 @@ from pyspark.sql import types as T
 
 from sparkdoc.llm._spark import Scratch, carry, map_texts, restore
 from sparkdoc.llm._text import word_counts
-from sparkdoc.llm.classify import adam, labelled, presence, screen, softmax
+from sparkdoc.llm.classify import Sparse, adam, features_of, labelled, presence, screen, softmax, vocabulary_of
 
 #: Labelled rows that the domain classifier is trained on.
 SAMPLE = 2000
 WORDS = 512
+RIDGE = 1e-3
 #: Token weights of the domains of ``documents`` (its labelled rows tell the language).
 TARGETS = {"en": 0.5, "de": 0.18, "fr": 0.18, "es": 0.14}
 #: Steps of the fit; they are free as long as no rate is projected. Those after that take a pass over the rows each.
@@ -64,10 +65,16 @@ class DomainModel:
         return softmax(z), total
 
 
-def train(texts: list[str | None], domains: list[str], words: int = WORDS, ridge: float = 1e-3) -> DomainModel:
+def train(texts: list[str | None], domains: list[str], words: int = WORDS, ridge: float = RIDGE) -> DomainModel:
+    several = len(set(domains)) > 1
+    vocabulary = screen(texts, np.array(domains, dtype=object).astype(str), words) if several else np.zeros(0, np.uint64)
+    return _train(presence(texts, vocabulary), vocabulary, domains, ridge)
+
+
+def _train(x: Sparse, vocabulary: np.ndarray, domains: list[str], ridge: float = RIDGE) -> DomainModel:
+    """Softmax regression of the domains on the counts of the vocabulary's words."""
     names, y = np.unique(np.array(domains, dtype=object).astype(str), return_inverse=True)
-    vocabulary = screen(texts, y, words) if len(names) > 1 else np.zeros(0, np.uint64)
-    x, onehot, m = presence(texts, vocabulary), np.eye(len(names))[y], len(vocabulary)
+    onehot, m = np.eye(len(names))[y], len(vocabulary)
 
     def gradient(p: np.ndarray) -> np.ndarray:
         g = (softmax(x.dot(p[:m]) + p[m]) - onehot) / len(y)
@@ -199,11 +206,13 @@ def plan(docs: DataFrame, labelled_docs: DataFrame, labels: DataFrame, domain_co
 
 def _plan(docs: DataFrame, labelled_docs: DataFrame, labels: DataFrame, domain_col: str, targets: dict[str, float] | None, total: float | None, limit: int, scratch: Scratch) -> tuple[DomainModel, np.ndarray, float, DataFrame]:
     """As ``plan``, and the written members."""
-    rows = [r for r in labelled(labelled_docs, labels, F.lit(0), limit, extra=(domain_col,)) if r[f"x_{domain_col}"] is not None]
+    sample = labelled(labelled_docs, labels, F.lit(0), scratch, limit, kind_col=domain_col)
+    vocabulary = vocabulary_of(sample, F.col("kind"), WORDS)
+    x, rows = features_of(sample, vocabulary)
     if not rows:
         none = DomainModel([""], np.zeros(0, np.uint64), np.zeros((0, 1)), np.zeros(1))
         return none, np.zeros((0, 1)), 1.0, scratch.keep(membership(docs, none), "members")
-    model = train([r.text for r in rows], [r[f"x_{domain_col}"] for r in rows])
+    model = _train(x, vocabulary, [r.kind for r in rows])
     members = scratch.keep(membership(docs, model), "members")
     steps, want, _ = fit(members, model.domains, TARGETS if targets is None else targets, total)
     least = _rates(np.eye(len(model.domains)), steps)[want > 0].min(initial=1.0)

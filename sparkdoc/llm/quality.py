@@ -21,6 +21,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -94,15 +95,25 @@ class Classifier:
         return np.concatenate([z, z * z / 6, np.abs(z)], axis=1)
 
 
+def _share(good: np.ndarray) -> Classifier:
+    """Without labels of both kinds: the share of good ones."""
+    k, share = len(MEASURES), (good.sum() + 0.5) / (len(good) + 1)
+    return Classifier(np.zeros(k), np.ones(k), np.zeros(3 * k), float(np.log(share / (1 - share))))
+
+
 def fit(texts: list[str | None], good: np.ndarray, ridge: float = 1e-4) -> Classifier:
     """Logistic regression on the measures, their squares and sizes."""
-    good = np.asarray(good, float)
-    k = len(MEASURES)
-    if not len(good) or good.min() == good.max():
-        share = (good.sum() + 0.5) / (len(good) + 1)
-        return Classifier(np.zeros(k), np.ones(k), np.zeros(3 * k), float(np.log(share / (1 - share))))
+    if not len(texts):
+        return _share(np.zeros(0))
     data, off = as_bytes(texts)
-    x = np.concatenate([measures(data[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in slices(off, 1 << 20)])
+    return fit_measures(np.concatenate([measures(data[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in slices(off, 1 << 20)]), good, ridge)
+
+
+def fit_measures(x: np.ndarray, good: np.ndarray, ridge: float = 1e-4) -> Classifier:
+    """As ``fit``, of rows of ``MEASURES``."""
+    good, k = np.asarray(good, float), len(MEASURES)
+    if not len(good) or good.min() == good.max():
+        return _share(good)
     c = Classifier(x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9), np.zeros(3 * k), 0.0)
     z = c._spread(x)
 
@@ -162,8 +173,12 @@ def score(docs: DataFrame, model: Classifier, host_col: str = "source", path_col
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Classifier:
     """Fit on at most ``limit`` labelled documents."""
-    rows = labelled(docs, labels, labels["quality"], limit)
-    return fit([r.text for r in rows], np.array([r.y for r in rows], float))
+    with Scratch(docs.sparkSession) as scratch:
+        sample = labelled(docs, labels, labels["quality"], scratch, limit)
+        kernel = lambda: lambda data, off: [pa.array(list(measures(data, off)), pa.list_(pa.float64()))]
+        rows = map_texts(sample, "text", {"id": "id", "y": "y"}, [("m", T.ArrayType(T.DoubleType()))], kernel).orderBy(F.xxhash64("id"), "id").collect()  # 16 numbers a row
+        scratch.clear()
+    return fit_measures(np.array([r.m for r in rows]).reshape(-1, len(MEASURES)), np.array([r.y for r in rows], float))
 
 
 def classify(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE, **options) -> DataFrame:

@@ -15,6 +15,7 @@ null ids in the labels are left out; every input row gives one output row, null
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,9 +23,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkdoc.llm._spark import carry, map_texts, restore
+from sparkdoc.llm._spark import Scratch, carry, map_texts, restore
 from sparkdoc.llm._text import word_counts
-from sparkdoc.llm.classify import SAMPLE, adam, labelled, presence, screen, sigmoid
+from sparkdoc.llm.classify import SAMPLE, Sparse, adam, features_of, labelled, presence, screen, sigmoid, vocabulary_of
 
 #: Words kept by the screen.
 WORDS = 1024
@@ -51,15 +52,24 @@ class OrdinalModel:
         return np.bincount(row, np.log2(1.0 + n) * self.weights[col], len(off) - 1) if len(row) else np.zeros(len(off) - 1)
 
 
-def _fit(x, grade: np.ndarray, columns: int, ridge: float) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds of greatest likelihood; the gaps between thresholds are kept positive as exponentials."""
-    top, n = int(grade.max()), len(grade)
+_HARMLESS = OrdinalModel(np.zeros(0, np.uint64), np.zeros(0), np.array([30.0]))
+
+
+def _one_sided(grade: np.ndarray) -> bool:
+    return not len(grade) or grade.max() < 1 or grade.min() > 0
 
-    def unpack(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return p[:columns], np.cumsum(np.concatenate([p[columns : columns + 1], np.exp(p[columns + 1 :])]))
+
+def thresholds_of(gaps: np.ndarray) -> np.ndarray:
+    """Rising thresholds: the first, and the logarithms of the gaps between them."""
+    return np.cumsum(np.concatenate([gaps[:1], np.exp(gaps[1:])]))
+
+
+def gradient_of(x: Sparse, grade: np.ndarray, columns: int, ridge: float) -> Callable[[np.ndarray], np.ndarray]:
+    """Gradient of the mean negative log likelihood and the ridge, by weights and gaps in one vector."""
+    top, n = int(grade.max()), len(grade)
 
     def gradient(p: np.ndarray) -> np.ndarray:
-        w, t = unpack(p)
+        w, t = p[:columns], thresholds_of(p[columns:])
         s = sigmoid(x.dot(w)[:, None] - t)  # P(grade > k)
         edge = np.concatenate([np.ones((n, 1)), s, np.zeros((n, 1))], axis=1)
         k = np.arange(n)
@@ -74,18 +84,29 @@ def _fit(x, grade: np.ndarray, columns: int, ridge: float) -> tuple[np.ndarray,
         g_gap = np.concatenate([back[:1], back[1:] * np.exp(p[columns + 1 :])])
         return np.concatenate([x.transposed(g_score, columns) + ridge * w, g_gap])
 
+    return gradient
+
+
+def _fit(x: Sparse, grade: np.ndarray, columns: int, ridge: float) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds of greatest likelihood; the gaps between thresholds are kept positive as exponentials."""
+    top = int(grade.max())
     base = np.array([np.log((grade <= k).mean() / max((grade > k).mean(), 1e-6) + 1e-6) for k in range(top)])
     start = np.concatenate([np.zeros(columns), base[:1], np.log(np.maximum(np.diff(base), 0.1))])
-    return unpack(adam(start, gradient))
+    p = adam(start, gradient_of(x, grade, columns, ridge))
+    return p[:columns], thresholds_of(p[columns:])
 
 
 def fit(texts: list[str | None], grade: np.ndarray, words: int = WORDS, ridge: float = RIDGE, split: bool = False) -> OrdinalModel:
     """Fit on graded texts; with ``split``, grades are 0 and 1 and grade 1 is parted at its median toxic evidence."""
     grade = np.asarray(grade, np.int64)
-    if not len(grade) or grade.max() < 1 or grade.min() > 0:
-        return OrdinalModel(np.zeros(0, np.uint64), np.zeros(0), np.array([30.0]))
+    if _one_sided(grade):
+        return _HARMLESS
     vocabulary = screen(texts, grade > 0, words, prefixes=PREFIXES)
-    x = presence(texts, vocabulary, PREFIXES)
+    return fit_features(presence(texts, vocabulary, PREFIXES), vocabulary, grade, ridge, split)
+
+
+def fit_features(x: Sparse, vocabulary: np.ndarray, grade: np.ndarray, ridge: float = RIDGE, split: bool = False) -> OrdinalModel:
+    """As ``fit``, of features that were counted before."""
     w, t = _fit(x, np.minimum(grade, 1) if split else grade, len(vocabulary), ridge)
     if split:
         toxic = grade > 0
@@ -113,8 +134,13 @@ def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
 
 def train(docs: DataFrame, labels: DataFrame, grade: Column | None = None, limit: int = SAMPLE) -> OrdinalModel:
     """Fit on at most ``limit`` labelled documents; ``grade`` is an ordered integer column of ``labels``, else its toxic flag is split."""
-    rows = labelled(docs, labels, labels["toxic"] if grade is None else grade, limit)
-    return fit([r.text for r in rows], np.array([r.y for r in rows], np.int64), split=grade is None)
+    with Scratch(docs.sparkSession) as scratch:
+        sample = labelled(docs, labels, labels["toxic"] if grade is None else grade, scratch, limit)
+        vocabulary = vocabulary_of(sample, F.col("y") > 0, WORDS, prefixes=PREFIXES)
+        x, rows = features_of(sample, vocabulary, PREFIXES)
+        scratch.clear()
+    grades = np.array([r.y for r in rows], np.int64)
+    return _HARMLESS if _one_sided(grades) else fit_features(x, vocabulary, grades, split=grade is None)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE, reject: float = REJECT) -> DataFrame:
