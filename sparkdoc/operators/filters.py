@@ -75,7 +75,7 @@ def _no() -> Column:
 
 
 class Typed:
-    """A column of known type: predicates that Catalyst can push to the scan."""
+    """A column of known type. Predicates on scalars are ``IS NOT NULL`` and a bare comparison, which are never null and which the Parquet scan takes."""
 
     def __init__(self, column: Column, dtype: T.DataType) -> None:
         self.array = isinstance(dtype, T.ArrayType)
@@ -96,14 +96,25 @@ class Typed:
             return _no()
         if self.array:
             return F.coalesce(F.exists(self.c, lambda x: self._cast(x).eqNullSafe(_literal(v))), _no())
-        return F.coalesce(self.c == F.lit(v), _no())
+        return self.c.isNotNull() & (self.c == F.lit(v))
+
+    def neq(self, v: Any) -> Column:
+        if self.array or kind(v) is None or kind(v) != self.kind:
+            return self.present() & ~self.eq(v)
+        return self.c.isNotNull() & (self.c != F.lit(v))
+
+    def any_of(self, values: Sequence[Any]) -> Column:
+        if self.array:
+            return reduce(lambda a, b: a | b, [self.eq(v) for v in values], _no())
+        alike = [v for v in values if kind(v) is not None and kind(v) == self.kind]
+        return self.c.isNotNull() & self.c.isin(alike) if alike else _no()
 
     def range(self, op: str, v: Any) -> Column:
         if not self.number:
             return _no()
         if self.array:
             return F.coalesce(F.exists(self.c, lambda x: F.coalesce(_compare(self._cast(x), op, _literal(v)), _no())), _no())
-        return F.coalesce(_compare(self.c, op, F.lit(v)), _no())
+        return self.c.isNotNull() & _compare(self.c, op, F.lit(v))
 
 
 class Loose:
@@ -124,6 +135,12 @@ class Loose:
             return _no()
         return F.coalesce(F.exists(self.c, lambda x: x[kind(v)].eqNullSafe(_literal(v))), _no())
 
+    def neq(self, v: Any) -> Column:
+        return self.present() & ~self.eq(v)
+
+    def any_of(self, values: Sequence[Any]) -> Column:
+        return reduce(lambda a, b: a | b, [self.eq(v) for v in values], _no())
+
     def range(self, op: str, v: Any) -> Column:
         return F.coalesce(F.exists(self.c, lambda x: F.coalesce(_compare(x["number"], op, _literal(v)), _no())), _no())
 
@@ -134,9 +151,9 @@ def _predicate(field: Typed | Loose | None, f: Filter) -> Column:
     if f.op in ("eq", "contains"):
         return field.eq(f.value)
     if f.op == "neq":
-        return field.present() & ~field.eq(f.value)
+        return field.neq(f.value)
     if f.op == "in":
-        return reduce(lambda a, b: a | b, [field.eq(v) for v in f.value], _no())
+        return field.any_of([v for v in f.value if not (isinstance(v, float) and math.isnan(v))])
     return field.range(f.op, f.value)
 
 

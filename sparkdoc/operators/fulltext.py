@@ -7,12 +7,19 @@ full-text fields; ``field:word`` in one field. ``+`` requires, ``-`` excludes, d
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from sparkdoc.sources.objects import HadoopStore, NotFoundError
 
 K1, B = 1.2, 0.75
 DEFAULT_LIMIT = 10
@@ -34,10 +41,53 @@ def projection(docs: DataFrame, id_col: str, fields: dict[str, str]) -> DataFram
     return docs.select(docs[id_col].alias("id"), F.explode(parts).alias("p")).select("id", "p.field", "p.text").where("text is not null and text <> ''")
 
 
-def postings(docs: DataFrame, id_col: str, fields: dict[str, str]) -> DataFrame:
-    """(id, field, term, tf)."""
-    terms = projection(docs, id_col, fields).select("id", "field", F.explode(tokens(F.col("text"))).alias("term"))
-    return terms.groupBy("id", "field", "term").agg(F.count("*").alias("tf"))
+#: Words that the kernel sorts at a time.
+CHUNK_WORDS = 1 << 21
+_POSTING = "field string, term string, tf long, dl long, pos array<int>"
+
+
+def postings(docs: DataFrame, id_col: str, fields: dict[str, str], headed: bool = False) -> DataFrame:
+    """(id, field, term, tf, dl, pos): how often a term stands in a field and where, and how many terms the field has.
+
+    A row's terms are counted inside the row, so nothing is shuffled. ``headed`` adds a row with a blank term for each field that has terms.
+    """
+    names = list(fields)
+    source = docs.select(docs[id_col].alias("id"), *[tokens(docs[c].cast("string")).alias(f"w{k}") for k, c in enumerate(fields.values())])
+    schema = T.StructType([source.schema["id"], *T._parse_datatype_string(_POSTING).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, name in enumerate(names):
+                length = pc.fill_null(pc.list_value_length(batch.column(k + 1)), 0).to_numpy().astype(np.int64)
+                end = np.cumsum(length)
+                i = 0
+                while i < len(end):
+                    j = max(i + 1, int(np.searchsorted(end, end[i] - length[i] + CHUNK_WORDS, side="right")))
+                    if made := _count(batch.column(0).slice(i, j - i), batch.column(k + 1).slice(i, j - i), length[i:j], name, headed, schema.names):
+                        yield made
+                    i = j
+
+    return source.mapInArrow(run, schema)
+
+
+def _count(ids: pa.Array, words: pa.Array, length: np.ndarray, name: str, headed: bool, columns: list[str]) -> pa.RecordBatch | None:
+    """Run lengths of the sorted (row, term) pairs of some rows."""
+    if not length.sum():
+        return None
+    coded = words.flatten().dictionary_encode()
+    row = np.repeat(np.arange(len(length)), length)
+    order = np.argsort(row * len(coded.dictionary) + coded.indices.to_numpy(), kind="stable")
+    code, row = coded.indices.to_numpy()[order], row[order]
+    place = (np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length))[order]
+    begin = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (code[1:] != code[:-1])]))
+    tf = np.diff(np.append(begin, len(row)))
+    term, owner, cut = coded.dictionary.take(pa.array(code[begin])), row[begin], np.append(begin, len(row))
+    if headed:
+        some = np.flatnonzero(length)
+        term, owner, tf = pa.concat_arrays([pa.array([""] * len(some), term.type), term]), np.concatenate([some, owner]), np.concatenate([np.zeros(len(some), np.int64), tf])
+        cut = np.concatenate([np.zeros(len(some), np.int64), cut])
+    pos = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(place, pa.int32()))
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(owner)), pa.array([name] * len(owner), pa.string()), term, pa.array(tf), pa.array(length[owner]), pos], names=columns)
 
 
 @dataclass(frozen=True)
@@ -76,11 +126,11 @@ def _occurrences(words: Column, terms: Sequence[str]) -> Column:
 def search(docs: DataFrame, query: str, id_col: str = "id", fields: dict[str, str] | None = None) -> DataFrame:
     """All hits (id, score), unordered: BM25 summed over clauses and fields.
 
-    Only terms of the query are counted, in one pass over the text beside the corpus sums (documents and
-    their mean length per field); nothing but sums is shuffled.
+    Only terms of the query are counted; the corpus sums (documents and their mean length per field) take a second
+    scan of the text. Nothing but sums is shuffled. ``PostingsIndex`` answers the same without a scan.
     """
     fields = fields or {"content": "content"}
-    kept = [(k, c, [f for f in fields if c.field in (None, f)]) for k, c in enumerate(parse(query))]
+    kept = _over(parse(query), fields)
     words = docs.select(docs[id_col].alias("id"), *[tokens(docs[c].cast("string")).alias(f"w_{f}") for f, c in fields.items()])
     counted = words.select(
         "id",
@@ -88,9 +138,18 @@ def search(docs: DataFrame, query: str, id_col: str = "id", fields: dict[str, st
         *[F.coalesce(_occurrences(F.col(f"w_{f}"), c.terms), F.lit(0)).alias(f"t_{k}_{f}") for k, c, over in kept for f in over],
     )
     sums = [F.sum((F.col(f"n_{f}") > 0).cast("long")).alias(f"docs_{f}") for f in fields] + [F.sum(f"n_{f}").alias(f"length_{f}") for f in fields]
-    sums += [F.sum((F.col(f"t_{k}_{f}") > 0).cast("long")).alias(f"df_{k}_{f}") for k, _, over in kept for f in over]
-    corpus = counted.agg(*sums)  # one row
-    joined = counted.join(F.broadcast(corpus), F.lit(True))
+    return _scored(counted, kept, sums)
+
+
+def _over(clauses: list[Clause], fields: Iterable[str]) -> list[tuple[int, Clause, list[str]]]:
+    """Clauses by number, with the fields that each looks at."""
+    return [(k, c, [f for f in fields if c.field in (None, f)]) for k, c in enumerate(clauses)]
+
+
+def _scored(counted: DataFrame, kept: list[tuple[int, Clause, list[str]]], sums: list[Column]) -> DataFrame:
+    """Scores of rows (id, n_field, t_clause_field); ``sums`` give docs_field and length_field of the corpus."""
+    sums = sums + [F.sum((F.col(f"t_{k}_{f}") > 0).cast("long")).alias(f"df_{k}_{f}") for k, _, over in kept for f in over]
+    joined = counted.join(F.broadcast(counted.agg(*sums)), F.lit(True))  # with one row
     score, must, should, never = F.lit(0.0), F.lit(True), F.lit(False), F.lit(False)
     for k, c, over in kept:
         hit = F.lit(False)
@@ -116,31 +175,160 @@ def total(hits: DataFrame) -> DataFrame:
     return hits.agg(F.count("*").alias("total"))
 
 
+#: Generations of an index that are merged into one.
+MERGE = 8
+
+
 class PostingsIndex:
-    """A stored inverted index: terms are looked up in postings clustered by term instead of scanning texts."""
+    """A stored inverted index: a query reads the rows of its terms in files sorted by term, and no text.
+
+    Documents are added and removed in generations: each is a folder of postings with a list of the ids that it
+    changes, so a change costs what it holds. A row counts unless a later generation changes its id. The corpus
+    sums are kept with the list of generations, which one put replaces.
+    """
 
-    def __init__(self, postings: DataFrame, lengths: DataFrame) -> None:
-        self.postings, self.lengths = postings, lengths
+    def __init__(self, spark: SparkSession, objects: HadoopStore, name: str = "text-index") -> None:
+        self.spark, self.objects, self.name = spark, objects, name
+
+    def _state(self) -> dict:
+        try:
+            return json.loads(self.objects.get(f"{self.name}/state.json"))
+        except NotFoundError:
+            return {"next": 0, "generations": [], "fields": {}}
+
+    def _save(self, **state) -> None:
+        self.objects.put(f"{self.name}/state.json", json.dumps(state).encode())
+
+    def exists(self) -> bool:
+        return self.objects.exists(f"{self.name}/state.json")
+
+    @property
+    def fields(self) -> list[str]:
+        return sorted(self._state()["fields"])
+
+    def count(self, field: str = "content") -> int:
+        """Documents that have terms in a field."""
+        return self._state()["fields"].get(field, [0, 0])[0]
+
+    def _rows(self, state: dict, where: Column) -> DataFrame:
+        """Rows that count, of those that ``where`` lets through."""
+        read = lambda g: self.spark.read.parquet(self.objects.uri(f"{self.name}/g{g}/postings")).where(where)
+        out = None
+        for g in state["generations"]:
+            if out is not None:
+                out = out.join(self.spark.read.parquet(self.objects.uri(f"{self.name}/g{g}/changed")), "id", "left_anti")
+            out = read(g) if out is None else out.unionByName(read(g))
+        return out
+
+    def reset(self) -> None:
+        """Forget everything."""
+        self.objects.delete(self.name)
+
+    def build(self, docs: DataFrame, id_col: str, fields: dict[str, str]) -> None:
+        """Index ``docs`` from scratch; what was there stays readable until the new list of generations is put."""
+        old = self._state()
+        g = old["next"]
+        self._write(postings(docs, id_col, fields, headed=True), docs.select(docs[id_col].alias("id")).limit(0), g)
+        self._save(next=g + 1, generations=[g], fields=self._sums([g], fields, {}))
+        self._drop(old["generations"])
+
+    def apply(self, docs: DataFrame, changed: DataFrame, id_col: str, fields: dict[str, str]) -> None:
+        """Index ``docs`` in place of what the ids of ``changed`` (id) had; ids without a document are removed."""
+        old = self._state()
+        if not old["generations"]:
+            return self.build(docs, id_col, fields)
+        g = old["next"]
+        self._write(postings(docs, id_col, fields, headed=True), changed.select("id").distinct(), g)
+        named = self.spark.read.parquet(self.objects.uri(f"{self.name}/g{g}/changed"))
+        gone = self._rows(old, F.col("term") == "").join(named, "id", "left_semi").groupBy("field").agg(F.count("*"), F.sum("dl")).collect()
+        sums = {f: [n, size] for f, (n, size) in old["fields"].items()}
+        for f, n, size in gone:
+            sums[f] = [sums[f][0] - n, sums[f][1] - size]
+        self._save(next=g + 1, generations=[*old["generations"], g], fields=self._sums([g], fields, sums))
+        if len(old["generations"]) + 1 >= MERGE:
+            self.merge()
+
+    def merge(self) -> None:
+        """Rewrite all generations as one."""
+        old = self._state()
+        g = old["next"]
+        rows = self._rows(old, F.lit(True))
+        self._write(rows, rows.select("id").limit(0), g)
+        self._save(next=g + 1, generations=[g], fields=old["fields"])
+        self._drop(old["generations"])
+
+    def _write(self, rows: DataFrame, changed: DataFrame, g: int) -> None:
+        folder = self.objects.uri(f"{self.name}/g{g}")
+        # by term and id, so that a term of all documents spans files
+        rows.repartitionByRange("term", "id").sortWithinPartitions("term", "field", "id").write.mode("overwrite").parquet(f"{folder}/postings")
+        changed.write.mode("overwrite").parquet(f"{folder}/changed")
+
+    def _sums(self, generations: list[int], fields: Iterable[str], sums: dict[str, list[int]]) -> dict[str, list[int]]:
+        """Documents and terms of each field, those of new generations added."""
+        out = {f: sums.get(f, [0, 0]) for f in {*fields, *sums}}
+        for g in generations:
+            heads = self.spark.read.parquet(self.objects.uri(f"{self.name}/g{g}/postings")).where("term = ''")
+            for f, n, size in heads.groupBy("field").agg(F.count("*"), F.sum("dl")).collect():  # a row a field
+                out[f] = [out[f][0] + n, out[f][1] + size]
+        return out
+
+    def _drop(self, generations: list[int]) -> None:
+        for g in generations:
+            self.objects.delete(f"{self.name}/g{g}")
 
     @staticmethod
     def write(docs: DataFrame, path: str, id_col: str, fields: dict[str, str]) -> None:
-        found = postings(docs, id_col, fields)
-        found.repartitionByRange("term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
-        found.groupBy("id", "field").agg(F.sum("tf").alias("dl")).write.mode("overwrite").parquet(f"{path}/lengths")
+        """A new index of ``docs`` in a folder of its own."""
+        PostingsIndex.open(docs.sparkSession, path).build(docs, id_col, fields)
 
     @staticmethod
-    def open(spark, path: str) -> PostingsIndex:
-        return PostingsIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"))
-
-    def search(self, terms: Iterable[str], field: str | None = None) -> DataFrame:
-        """Hits of any of the terms; the term filter reaches the sorted Parquet files."""
-        wanted = sorted({t.lower() for t in terms})
-        found = self.postings.where(F.col("term").isin(wanted))
-        if field is not None:
-            found = found.where(F.col("field") == field)
-        df = found.groupBy("field", "term").agg(F.count("*").alias("df"))  # at most fields times terms
-        corpus = self.lengths.groupBy("field").agg(F.count("*").alias("N"), F.avg("dl").alias("mean"))  # a row a field
-        joined = found.join(F.broadcast(df), ["field", "term"]).join(F.broadcast(corpus), "field").join(self.lengths, ["id", "field"])
-        tf = F.col("tf").cast("double")
-        part = F.log(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
-        return joined.groupBy("id").agg(F.sum(part).alias("score"))
+    def open(spark: SparkSession, path: str) -> PostingsIndex:
+        return PostingsIndex(spark, HadoopStore(spark, path), "index")
+
+    def search(self, query: str | Iterable[str], field: str | None = None) -> DataFrame:
+        """All hits (id, score), as ``search`` over the texts gives them; a list holds terms of which any is wanted."""
+        state = self._state()
+        clauses = parse(query) if isinstance(query, str) else [Clause((t,), field) for t in sorted({t.lower() for t in query})]
+        kept = _over(clauses, sorted(state["fields"]))
+        wanted = sorted({t for _, c, over in kept if over for t in c.terms})
+        if not (wanted and state["generations"]):
+            return self.spark.createDataFrame([], "id string, score double")
+        rows = self._rows(state, F.col("term").isin(wanted)).select("id", "field", "term", "tf", "dl", "pos")
+        of = lambda f, t, c: F.max(F.when((F.col("field") == f) & (F.col("term") == t), F.col(c)))
+        looked = {(f, t) for _, c, over in kept for f in over for t in c.terms}
+        phrased = {(f, t) for _, c, over in kept if len(c.terms) > 1 for f in over for t in c.terms}
+        number = {t: k for k, t in enumerate(wanted)}
+        grouped = rows.groupBy("id").agg(
+            *[F.coalesce(F.max(F.when(F.col("field") == f, F.col("dl"))), F.lit(0)).alias(f"n_{f}") for f in sorted(state["fields"])],
+            *[F.coalesce(of(f, t, "tf"), F.lit(0)).alias(f"f_{number[t]}_{f}") for f, t in sorted(looked)],
+            *[of(f, t, "pos").alias(f"p_{number[t]}_{f}") for f, t in sorted(phrased)],
+        )
+        counted = grouped.select(
+            "id", *[f"n_{f}" for f in sorted(state["fields"])],
+            *[(F.col(f"f_{number[c.terms[0]]}_{f}") if len(c.terms) == 1 else _in_a_row([F.col(f"p_{number[t]}_{f}") for t in c.terms])).alias(f"t_{k}_{f}") for k, c, over in kept for f in over],
+        )
+        sums = [F.lit(n).alias(f"{name}_{f}") for f, pair in state["fields"].items() for name, n in zip(("docs", "length"), pair, strict=True)]
+        return _scored(counted, kept, sums)
+
+
+def _in_a_row(places: list[Column]) -> Column:
+    """How often the terms of these places follow each other (overlaps count once); null places are none."""
+    starts = places[0]
+    for k, p in enumerate(places[1:], 1):
+        starts = F.array_intersect(starts, F.transform(p, lambda x, k=k: x - F.lit(k)))
+    step = lambda s, x: F.when(x >= s["next"], F.struct((s["n"] + 1).alias("n"), (x + len(places)).alias("next"))).otherwise(s)
+    return F.coalesce(F.aggregate(F.array_sort(starts), F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("next")), step)["n"], F.lit(0))
+
+
+class TextIndexer:
+    """Keeps a ``PostingsIndex`` up with a store of documents; ``prepare`` gives a frame of documents its text columns, and their names by field."""
+
+    def __init__(self, index: PostingsIndex, prepare: Callable[[DataFrame], tuple[DataFrame, dict[str, str]]], documents: Callable[[DataFrame], DataFrame]) -> None:
+        self.index, self.prepare, self.documents = index, prepare, documents
+
+    def reset(self) -> None:
+        self.index.reset()
+
+    def apply(self, changes: DataFrame) -> None:
+        docs, fields = self.prepare(self.documents(changes))
+        self.index.apply(docs, changes.select(F.col("key").alias("id")), "id", fields)

@@ -1,14 +1,15 @@
 """A document table: versioned documents in a store, searched by attributes, text and vectors.
 
-Searches read the table's snapshot, so they are always up to date; ``rebuild_indexes`` also writes an
-inverted index for term lookups that needn't scan the texts.
+Attribute and vector searches read the table's snapshot. Text searches read a written inverted index, to which
+they first apply what was written since; all are always up to date.
 """
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 from typing import Any, Protocol
 
@@ -24,7 +25,7 @@ from sparkdoc.operators import filters as A
 from sparkdoc.operators import fulltext as X
 from sparkdoc.operators import vector as V
 from sparkdoc.sources.store import ClosedError, Store
-from sparkdoc.streaming.index import delete_checkpoint, load_checkpoint, save_checkpoint
+from sparkdoc.streaming.index import Builder, delete_checkpoint, load_checkpoint, save_checkpoint
 
 
 class FullTextUnavailableError(RuntimeError):
@@ -121,7 +122,7 @@ class DocumentTable:
         now = datetime.datetime.now(datetime.UTC)
         named = [replace(d, id=d.id or ulid()) for d in docs]
         ids = sorted({d.id for d in named})
-        known = {r.id: r for r in self._live(F.col("key").isin(ids)).select("id", "created_at", "version").collect()} if ids else {}
+        known = {r.id: r for r in self._live(F.col("key").isin(ids), ids).select("id", "created_at", "version").collect()} if ids else {}
         embedded = self._embed(named)
         out = []
         for d in embedded:
@@ -172,6 +173,10 @@ class DocumentTable:
             if bad:
                 raise ValidationError("; ".join(f"{r.id}: {', '.join(r.v)}" for r in bad))
         df = self._embed_frame(df)
+        dims = self._schema.embedding_dims if self._schema else 0
+        if dims > 0 and "embedding" in df.columns:  # checked as it is written: a failed write commits nothing
+            wrong = F.concat(F.lit("vector of other dimensions than the schema's: "), F.col("id"))
+            df = df.withColumn("embedding", F.when((F.size("embedding") > 0) & (F.size("embedding") != dims), F.raise_error(wrong).cast(df.schema["embedding"].dataType)).otherwise(F.col("embedding")))
         prepared = D.prepare(df, self._live(F.lit(True)), F.current_timestamp())
         entries = D.as_entries(prepared, F.monotonically_increasing_id() + self.store.last_seq + 1)
         return self.store.write(entries)
@@ -204,8 +209,9 @@ class DocumentTable:
 
     # --- reading
 
-    def _live(self, where: Any) -> DataFrame:
-        df, unique = self.store.entries()
+    def _live(self, where: Any, keys: Sequence[str] | None = None) -> DataFrame:
+        """Live documents; with ``keys`` (sorted), only segments are read whose range holds one."""
+        df, unique = self.store.entries(lambda s: keys is None or (at := bisect.bisect_left(keys, s.min_key)) < len(keys) and keys[at] <= s.max_key)
         return D.of_entries(E.latest(df.where(where), unique))
 
     def documents(self) -> DataFrame:
@@ -215,11 +221,8 @@ class DocumentTable:
 
     def get_document(self, id: str) -> Document | None:
         self._open()
-        entry = self.store.get(id)
-        if entry is None or entry.deleted:
-            return None
-        row = self._live(F.col("key") == F.lit(id)).first()
-        return _document(row) if row else None
+        rows = self._live(F.col("key") == F.lit(id), [id]).collect()  # one key
+        return _document(rows[0]) if rows else None
 
     def list_documents(self, limit: int, after: str = "") -> tuple[list[Document], bool]:
         """Documents with id > after in id order, and whether more follow."""
@@ -254,12 +257,14 @@ class DocumentTable:
         self._healthy()
         if not self._full_text:
             raise FullTextUnavailableError(self.name)
-        docs, fields = self._text_fields(self.documents())
-        hits = X.search(docs, query, "id", fields)
+        self.wait_for_indexes()
+        hits = self.text_index().search(query).cache()
         total = hits.count()
-        top = X.ranked(hits, limit, offset)
-        rows = docs.join(F.broadcast(top), "id").orderBy(F.desc("score"), "id").collect()  # a page
-        return [_document(r) for r in rows], total
+        top = {r.id: r.score for r in X.ranked(hits, limit, offset).collect()}  # a page
+        hits.unpersist()
+        ids = sorted(top)
+        rows = self._live(F.col("key").isin(ids), ids).collect() if ids else []
+        return [_document(r) for r in sorted(rows, key=lambda r: (-top[r.id], r.id))], total
 
     def search_vector(self, query: Sequence[float], k: int) -> list[Document]:
         """The ``k`` nearest documents by cosine distance."""
@@ -286,39 +291,43 @@ class DocumentTable:
     def index_status(self) -> IndexStatus:
         return IndexStatus(self._error is None and not self._closed, self.store.last_seq, max(load_checkpoint(self.store.files, self.system), 0), self._error)
 
+    def _builder(self) -> Builder:
+        return Builder(self.store, X.TextIndexer(self.text_index(), self._text_fields, D.of_entries), self.system, self.store.files)
+
     def wait_for_indexes(self) -> None:
-        """Bring the written index up to the last accepted write."""
-        self._open()
-        self._healthy()
-        if load_checkpoint(self.store.files, self.system) < self.store.last_seq:
-            self.rebuild_indexes()
+        """Bring the written index up to the last accepted write: what changed since its checkpoint is applied."""
+        self._maintain(lambda: self._builder().catch_up() if self.text_index().exists() else self._builder().rebuild())
 
     def rebuild_indexes(self) -> None:
-        """Write the inverted index of the snapshot; a failure stays until a later success."""
+        """Write the inverted index of the snapshot anew; a failure stays until a later success."""
+        self._error = None
+        self._maintain(lambda: self._builder().rebuild())
+
+    def _maintain(self, work: Callable[[], int]) -> None:
         self._open()
+        self._healthy()
         try:
-            docs, fields = self._text_fields(self.documents())
             if self._full_text:
-                X.PostingsIndex.write(docs, f"{self.path}/text-index", "id", fields)
-            save_checkpoint(self.store.files, self.system, self.store.last_seq)
-            self._error = None
+                work()
+            else:
+                save_checkpoint(self.store.files, self.system, self.store.last_seq)
         except Exception as e:
             self._error = e
             raise
 
     def text_index(self) -> X.PostingsIndex:
-        return X.PostingsIndex.open(self.spark, f"{self.path}/text-index")
+        return X.PostingsIndex(self.spark, self.store.files)
 
     def reset_indexes(self) -> None:
         self._open()
         delete_checkpoint(self.store.files, self.system)
-        self.store.files.delete("text-index")
+        self.text_index().reset()
 
     def set_schema(self, schema: Schema | None) -> SchemaChange:
         """Change the schema; stored documents aren't validated again. Rebuilds a written index if its fields changed."""
         self._open()
         change, self._schema = diff(self._schema, schema), schema
-        if change and self.store.files.exists("text-index"):
+        if change and self.text_index().exists():
             self.rebuild_indexes()
         return change
 

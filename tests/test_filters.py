@@ -7,7 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from sparkdoc.operators.filters import Filter, FilterError, predicate, search, validate
+from sparkdoc.operators.filters import Filter, FilterError, columns_of, predicate, search, validate
 
 DOCS = [
     ("d1", "red", 1.5, True, ["a", "b"], [1, 2]),
@@ -85,3 +85,20 @@ def test_and_order_pages(both):
 def test_meaningless_filters(bad):
     with pytest.raises(FilterError):
         validate([bad])
+
+
+def test_filters_reach_the_scan(spark, tmp_path):
+    """The plan names every scalar comparison among the filters that the Parquet reader gets."""
+    rows = [(i, "en" if i % 3 else "de", 100 * i, bool(i % 2), i / 2) for i in range(40)]
+    spark.createDataFrame(rows, "id long, lang string, n_chars long, active boolean, score double").write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    wanted = [
+        (Filter("lang", "eq", "en"), "EqualTo(lang,en)"), (Filter("n_chars", "gt", 1000), "GreaterThan(n_chars,1000)"), (Filter("n_chars", "gte", 1000), "GreaterThanOrEqual(n_chars,1000)"), (Filter("n_chars", "lt", 9), "LessThan(n_chars,9)"),
+        (Filter("n_chars", "lte", 9), "LessThanOrEqual(n_chars,9)"), (Filter("lang", "neq", "en"), "Not(EqualTo(lang,en))"), (Filter("lang", "in", ["en", "fr", 7]), "In(lang, [en,fr])"), (Filter("score", "gt", 2.5), "GreaterThan(score,2.5)"),
+    ]
+    for f, text in wanted:
+        plan = docs.where(predicate([f], columns=columns_of(docs)))._jdf.queryExecution().executedPlan().toString()
+        assert text in plan.split("PushedFilters: ", 1)[1].split("]\n")[0].split(", ReadSchema")[0], f
+    plan = search(docs, [f for f, _ in wanted[:2]])._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(lang,en)" in plan and "GreaterThan(n_chars,1000)" in plan and "coalesce" not in plan
+    assert [r.id for r in search(docs, [f for f, _ in wanted[:2]]).collect()] == [i for i in range(11, 40) if i % 3]
