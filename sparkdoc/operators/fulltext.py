@@ -11,6 +11,7 @@ import json
 import re
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -313,9 +314,8 @@ class PostingsIndex:
 
 def _in_a_row(places: list[Column]) -> Column:
     """How often the terms of these places follow each other (overlaps count once); null places are none."""
-    starts = places[0]
-    for k, p in enumerate(places[1:], 1):
-        starts = F.array_intersect(starts, F.transform(p, lambda x, k=k: x - F.lit(k)))
+    back = lambda p, k: F.transform(p, lambda x: x - F.lit(k))
+    starts = reduce(F.array_intersect, [back(p, k) for k, p in enumerate(places)])
     step = lambda s, x: F.when(x >= s["next"], F.struct((s["n"] + 1).alias("n"), (x + len(places)).alias("next"))).otherwise(s)
     return F.coalesce(F.aggregate(F.array_sort(starts), F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("next")), step)["n"], F.lit(0))
 

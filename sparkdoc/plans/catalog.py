@@ -14,6 +14,7 @@ from sparkdoc.operators import filters as A
 from sparkdoc.operators import fulltext as X
 from sparkdoc.operators import vector as V
 from sparkdoc.operators.filters import Filter
+from sparkdoc.plans import stored
 from sparkdoc.plans import tables as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,11 +70,11 @@ add("kv_max_seq", lambda s, d: E.max_seq(t.events_log(s, d)), f"with {EVENTS} se
 
 
 def _segments(s: SparkSession, d: str) -> DataFrame:
-    """Four flushes a thousand entries apart, the last open-ended."""
-    return t.events_log(s, d).withColumn("segment", F.least(F.floor((F.col("seq") - 1) / 250), F.lit(3)))
+    """Four flushes, a quarter of the log each."""
+    return stored.quarters(s, d)[0]
 
 
-SEGMENTS = f"{EVENTS}, seg as (select *, least(floor((seq - 1) / 250), 3)::bigint as segment from events_log)"
+SEGMENTS = f"{EVENTS}, seg as (select *, least(floor((seq - 1) * 4 / (select max(seq) from events_log)), 3)::bigint as segment from events_log)"
 
 
 def _compacted(s: SparkSession, d: str) -> DataFrame:
@@ -298,6 +299,10 @@ def _stored(s: SparkSession, d: str) -> DataFrame:
 add("store_round_trip", _stored, f"with {ORDERS} select * from {newest('orders_log')} where value is not null")
 
 
+QUERIES |= stored.QUERIES
+SQL |= stored.SQL
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["kv_scan_range"](spark, sf_dir)
 

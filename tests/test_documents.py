@@ -151,6 +151,38 @@ def test_text_ranking_and_stored_index(spark, tmp_path):
     assert stored == {r.id: round(r.score, 9) for r in X.search(docs, "fox dog").collect()}
 
 
+def test_index_generations(spark, tmp_path):
+    """Changes in generations, their merge, phrases that overlap themselves, and the plan of a query."""
+    texts = {"1": "a a a b", "2": "b a", "3": "the a a fox", "4": "", "5": None}
+    frame = lambda d: spark.createDataFrame(list(d.items()), "id string, content string")
+    index, fields = X.PostingsIndex.open(spark, f"{tmp_path}/i"), {"content": "content"}
+    assert not index.exists() and index.search("a").count() == 0
+    index.apply(frame(texts), frame(texts), "id", fields)
+    queries = ["a", '"a a"', '"a b"', "+a -fox", "b the", "nobody", 'content:"the a" b', "other:a", "-a"]
+    scores = lambda rows: {r.id: round(r.score, 9) for r in rows.collect()}
+    for step in range(X.MERGE + 2):
+        for q in queries:
+            assert scores(index.search(q)) == scores(X.search(frame(texts), q)), (step, q)
+            if step not in (0, 1, X.MERGE + 1):
+                break
+        assert index.count() == sum(bool(x) for x in texts.values()) and len(index._state()["generations"]) < X.MERGE
+        texts[str(step % 5 + 1)] = f"a b a c{step}"
+        one = str(step % 5 + 1)
+        if step % 4 == 3:
+            del texts[one]
+        index.apply(frame(texts).where(F.col("id") == one), frame({one: ""}), "id", fields)
+    plan = index.search("a fox")._jdf.queryExecution().executedPlan().toString()
+    assert "In(term, [a,fox])" in plan
+
+
+def test_frames_of_wrong_dimensions_write_nothing(spark, tmp_path):
+    table = DocumentTable(spark, f"{tmp_path}", "docs", SCHEMA)
+    rows = spark.createDataFrame([("1", "one", [1.0, 2.0]), ("2", "two", [1.0, 2.0, 3.0]), ("3", "three", None)], "id string, content string, embedding array<float>").withColumn("attributes", F.lit(None).cast("string"))
+    with pytest.raises(Exception, match="dimensions"):
+        table.upsert(rows)
+    assert table.documents().count() == 0 and table.upsert(rows.where("id <> '2'")) > 0 and table.documents().count() == 2
+
+
 def test_vectors(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0, 1.0]), (4, [1.0]), (5, None), (6, [2.0, 0.0])], "id long, embedding array<float>")
     got = [(r.id, r.distance if r.distance is None else round(r.distance, 6)) for r in V.nearest(v, [1.0, 0.0], 9).collect()]
