@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkdoc.llm import decontaminate, mixing, sharding, simhash, toxicity
-from sparkdoc.llm._spark import Scratch
+from sparkdoc.llm._spark import Scratch, freeing
 
 SHARDS = 8
 
@@ -58,10 +58,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    scratch = Scratch(spark)
-    docs = _table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        kept = scratch.keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-        scratch.drop(docs)
-        docs = kept
+    with Scratch(spark) as scratch:
+        docs = _table(spark, sf_dir, "documents")
+        for name, stage in STAGES:
+            with freeing():  # what a stage kept for its result goes as soon as that is written
+                kept = scratch.keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            scratch.drop(docs)
+            docs = kept
     return docs

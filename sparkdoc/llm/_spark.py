@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -47,17 +48,35 @@ def remove_path(spark: SparkSession, path: str) -> None:
     files.delete(target, True)
 
 
+_WATCHERS: list[list[Scratch]] = []
+
+
+@contextlib.contextmanager
+def freeing() -> Iterator[None]:
+    """Free all that operators keep for their results inside the block, which must have written these elsewhere."""
+    seen: list[Scratch] = []
+    _WATCHERS.append(seen)
+    try:
+        yield
+    finally:
+        _WATCHERS.remove(seen)
+        for scratch in seen:
+            scratch.clear()
+
+
 class Scratch:
     """Tables and folders in the shared folder; ``drop``, ``only`` and ``clear`` free those no longer read.
 
     As a context manager it frees everything if its block fails. What a lazy result still reads when its operator
-    returns is freed at the latest when the application ends.
+    returns is freed at the end of a block of ``freeing``, or else when the application ends.
     """
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
         self.tables: dict[int, tuple[DataFrame, str]] = {}  # holds the frames, so that no id is used again
         self.folders: list[str] = []
+        for seen in _WATCHERS:
+            seen.append(self)
 
     def __enter__(self) -> Scratch:
         return self

@@ -1,12 +1,14 @@
 """SimHash near-duplicates: 64-bit fingerprints of word pairs, compared exactly in tiles.
 
 A fingerprint is taken from the whole text. Distinct fingerprints, not rows, are compared: copies
-meet once. Seven bit blocks split the 64 bits; two fingerprints at 6 or fewer differing bits agree
-on one block at least, so each pair meets in a bucket of equal block bits. A bucket is compared in
-tiles, sorted by population count, by exclusive-or and bit count; tile pairs whose population
-counts differ beyond the radius are skipped. A bucket above ``max_bucket`` is split again by seven
-blocks of its remaining bits, as often as it takes: fingerprints are distinct, so this ends, and
-no pair is lost. What leaves a bucket is linear in it: link counts and a spanning forest.
+meet once. The 64 bits are split into 6 + c blocks; two fingerprints at 6 or fewer differing bits agree
+on c blocks at least, so each pair meets in a bucket of equal bits of some c blocks. More fingerprints
+take more blocks, so that buckets stay small: one of 7 (7 copies of a fingerprint) up to 8 million, two of 8
+(28 copies) up to a billion, three of 9 (84) up to 34 billion. A bucket is compared in tiles, sorted by population count, by
+exclusive-or and bit count; tile pairs whose population counts differ beyond the radius are skipped. A
+bucket above ``max_bucket`` is split again by seven blocks of its remaining bits, as often as it takes:
+fingerprints are distinct, so this ends, and no pair is lost. What leaves a bucket is linear in it: link counts
+and a spanning forest.
 
 Nulls and blanks: a null or blank text has no words and fingerprint zero, linked like any other.
 Rows with a null id count as rows and keep null ids; repeated rows count as often as they occur.
@@ -15,6 +17,7 @@ An empty table gives no rows. Other columns of the input don't matter.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -84,7 +87,7 @@ def hex_digits(fp: Column) -> Column:
 
 
 def split_mask(mask: int, radius: int = RADIUS) -> list[int]:
-    """Radius + 1 masks that part the bits not in ``mask``, as evenly as they go."""
+    """``radius`` + 1 masks that part the bits not in ``mask``, as evenly as they go."""
     free = [b for b in range(64) if not mask >> b & 1]
     return [sum(1 << b for b in part) for part in (free[k * len(free) // (radius + 1) : (k + 1) * len(free) // (radius + 1)] for k in range(radius + 1))]
 
@@ -93,17 +96,30 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def shared_blocks(fingerprints: int, radius: int, max_bucket: int) -> int:
+    """Blocks that the buckets of so many fingerprints share: the fewest that leave a bucket half of ``max_bucket`` or less, if they were spread evenly."""
+    c = 1
+    while c < 4 and fingerprints > max_bucket / 2 * 2 ** (64 * c // (radius + c)):
+        c += 1
+    return c
+
+
 class _Paths:
-    """Bucket kinds: the bits that members share, and the earlier blocks on which a pair must differ to count here."""
+    """Bucket kinds: the bits that members share, and the earlier kinds of the same parent whose bits a pair must not all share to count here."""
 
-    def __init__(self, radius: int) -> None:
-        self.radius = radius
+    def __init__(self, radius: int, blocks: int = 1) -> None:
+        self.radius, self.blocks = radius, blocks
         self.mask = [0]
         self.earlier: list[list[int]] = [[]]
 
+    def splits(self, path: int) -> bool:
+        """Whether enough bits are left; a bucket where they aren't holds at most 2 ** radius fingerprints."""
+        return 64 - self.mask[path].bit_count() > self.radius
+
     def children(self, path: int) -> list[int]:
         made = []
-        parts = split_mask(self.mask[path], self.radius)
+        blocks = self.blocks if path == 0 else 1
+        parts = [sum(c) for c in itertools.combinations(split_mask(self.mask[path], self.radius + blocks - 1), blocks)]
         for k, part in enumerate(parts):
             made.append(len(self.mask))
             self.mask.append(self.mask[path] | part)
@@ -184,26 +200,28 @@ def _compare_buckets(earlier: list[list[int]], radius: int) -> Callable[[Iterato
     return run
 
 
-def link(fps: DataFrame, scratch: Scratch, radius: int = RADIUS, max_bucket: int = MAX_BUCKET) -> DataFrame:
+def link(fps: DataFrame, scratch: Scratch, radius: int = RADIUS, max_bucket: int = MAX_BUCKET, blocks: int | None = None) -> DataFrame:
     """Classes of equal fingerprints: (fp, n, n_near, component_id, keeper) from written rows (doc_id, fp).
 
     ``n`` is the class's number of rows, ``n_near`` the rows linked directly to one of its rows,
     ``component_id`` the smallest doc_id that links reach, ``keeper`` the smallest fingerprint that it has there.
     """
     classes = scratch.keep(fps.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")), "classes")
-    paths = _Paths(radius)
+    paths = _Paths(radius, blocks or shared_blocks(classes.count(), radius, max_bucket))
     level, parents, found = classes.select(F.lit(0).alias("path"), "fp", "n"), [0], []
     while True:
         level = _spread(level, paths, parents)
         sizes = level.groupBy("path", "bits").count().where(F.col("count") > max_bucket).select("path", "bits")
         hot = scratch.keep(sizes, "hot")
-        kinds = sorted(r[0] for r in hot.select("path").distinct().collect())  # at most (radius + 1) ** depth
+        kinds = [k for k in sorted(r[0] for r in hot.select("path").distinct().collect()) if paths.splits(k)]  # a few, times 7 ** depth
+        hot = hot.where(F.col("path").isin(kinds)) if kinds else hot
         cold = level.join(hot, ["path", "bits"], "left_anti") if kinds else level
         grouped = cold.select("path", "bits", "fp", "n").repartition("path", "bits").sortWithinPartitions("path", "bits")
         found.append(scratch.keep(grouped.mapInArrow(_compare_buckets(paths.earlier, radius), "fp long, links long, root long"), "links"))
         if not kinds:
             break
-        level, parents = level.join(hot, ["path", "bits"], "left_semi").select("path", "fp", "n"), kinds
+        again = scratch.keep(level.join(hot, ["path", "bits"], "left_semi").select("path", "fp", "n"), "level")
+        level, parents = again, kinds
     links = found[0]
     for more in found[1:]:
         links = links.unionByName(more)
@@ -220,10 +238,10 @@ def link(fps: DataFrame, scratch: Scratch, radius: int = RADIUS, max_bucket: int
 
 def _linked(docs: DataFrame, id_col: str, text_col: str, radius: int, max_bucket: int) -> DataFrame:
     """One row per row of ``docs``: doc_id and the columns of ``link``."""
-    scratch = Scratch(docs.sparkSession)
-    fps = scratch.keep(fingerprint_table(docs, id_col, text_col), "fps")
-    classes = scratch.keep(link(fps, scratch, radius, max_bucket), "near")
-    scratch.only(fps, classes)
+    with Scratch(docs.sparkSession) as scratch:
+        fps = scratch.keep(fingerprint_table(docs, id_col, text_col), "fps")
+        classes = scratch.keep(link(fps, scratch, radius, max_bucket), "near")
+        scratch.only(fps, classes)
     return join_counted(fps, classes, ["fp"], "n", fps.count())
 
 

@@ -41,8 +41,22 @@ def test_fingerprints():
     assert [int(x) for x in simhash.fingerprints(*as_bytes(texts))] == [fingerprint(t) for t in texts]
 
 
-@pytest.mark.parametrize("max_bucket", [simhash.MAX_BUCKET, 20])
-def test_links_match_brute_force(spark, max_bucket):
+def test_bucket_kinds():
+    """Every pair within the radius shares the bits of some kind; few kinds do while fingerprints are few."""
+    assert [simhash.shared_blocks(n, 6, simhash.MAX_BUCKET) for n in (0, 4_000_000, 5_000_000, 5 * 10**8, 10**10)] == [1, 1, 2, 2, 3]
+    rng = random.Random(1)
+    for blocks, kinds in ((1, 7), (2, 28), (3, 84)):
+        paths = simhash._Paths(6, blocks)
+        made = paths.children(0)
+        assert len(made) == kinds and min(paths.mask[k].bit_count() for k in made) >= {1: 9, 2: 16, 3: 21}[blocks]
+        for _ in range(200):
+            x = sum(1 << b for b in rng.sample(range(64), 6))
+            shared = [k for k in made if not x & paths.mask[k]]
+            assert shared and [k for k in shared if all(x & m for m in paths.earlier[k])] == shared[:1]
+
+
+@pytest.mark.parametrize(("max_bucket", "blocks"), [(simhash.MAX_BUCKET, None), (20, None), (simhash.MAX_BUCKET, 2), (simhash.MAX_BUCKET, 3)])
+def test_links_match_brute_force(spark, max_bucket, blocks):
     rng = random.Random(3)
     fps = [rng.getrandbits(64) for _ in range(40)]
     for _ in range(300):
@@ -54,7 +68,7 @@ def test_links_match_brute_force(spark, max_bucket):
     rows = [(i, int(np.uint64(x).view(np.int64))) for i, x in enumerate(fps)]
     scratch = Scratch(spark)
     table = scratch.keep(spark.createDataFrame(rows, "doc_id long, fp long"), "fps")
-    classes = simhash.link(table, scratch, max_bucket=max_bucket)
+    classes = simhash.link(table, scratch, max_bucket=max_bucket, blocks=blocks)
     got = {r.doc_id: (r.n_near, r.component_id) for r in table.join(classes, "fp").collect()}
     near, root = brute(fps)
     assert got == {i: (near[i], root[i]) for i in range(len(fps))}
