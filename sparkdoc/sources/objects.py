@@ -10,8 +10,14 @@ from dataclasses import dataclass
 from typing import Protocol
 from urllib.parse import urlparse
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
+#: Ability of a file system to create an object only where there is none.
+_CONDITIONAL = "fs.option.create.conditional.overwrite"
+#: Schemes whose rename is a copy.
+_COPYING = ("s3a", "s3", "s3n", "wasb", "oss", "cosn")
+
 
 class NotFoundError(KeyError):
     """No object has that key."""
@@ -88,8 +94,10 @@ class MemoryStore:
 class HadoopStore:
     """Objects under a path of any file system that Spark can reach (local, HDFS, S3).
 
-    A conditional create is exclusive: by a hard link on a local disk, by the file system's own
-    no-overwrite create elsewhere.
+    A conditional create is exclusive, and readers see all of an object or nothing: by a hard link on a local disk; by
+    the store's own conditional create where it has one (``fs.option.create.conditional.overwrite``); elsewhere by
+    renaming a draft to a name that must be free, which file systems like HDFS do at once. Object stores
+    that copy to rename and have no conditional create are refused.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
@@ -108,17 +116,41 @@ class HadoopStore:
     def put(self, key: str, data: bytes, if_none_match: bool = False) -> ObjectInfo:
         if self._local is not None:
             self._put_local(os.path.join(self._local, key), data, if_none_match)
+        elif if_none_match:
+            self._put_new(key, data)
         else:
-            try:
-                out = self._fs.create(self._path(key), not if_none_match)
-                out.write(bytearray(data))
-                out.close()
-            except Exception as e:
-                if if_none_match and ("FileAlreadyExists" in str(e) or "412" in str(e)):
-                    raise PreconditionError(key) from e
-                raise
+            self._fill(self._fs.create(self._path(key), True), data)
         return ObjectInfo(key, len(data), _etag(data))
 
+    @staticmethod
+    def _fill(out, data: bytes) -> None:
+        out.write(bytearray(data))
+        out.close()
+
+    def _put_new(self, key: str, data: bytes) -> None:
+        """Create an object that must not exist."""
+        target = self._path(key)
+        if self._fs.exists(target):
+            raise PreconditionError(key)
+        try:
+            if self._fs.hasPathCapability(target, _CONDITIONAL):
+                self._fill(self._fs.createFile(target).must(_CONDITIONAL, "true").overwrite(True).recursive().build(), data)
+                return
+            if self._fs.getScheme() in _COPYING:
+                raise RuntimeError(f"{self._fs.getScheme()} has no conditional create here")
+            draft = self._path(f"{key.rpartition('/')[0]}/.{uuid.uuid4().hex}.draft")
+            self._fill(self._fs.create(draft, False), data)
+            try:
+                context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._fs.getConf())
+                gateway = self.spark.sparkContext._gateway
+                context.rename(draft, target, gateway.new_array(getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename"), 0))
+            finally:
+                self._fs.delete(draft, False)
+        except Py4JJavaError as e:
+            if any(sign in str(e.java_exception) for sign in ("AlreadyExists", "412", "recondition", "onflict")):
+                raise PreconditionError(key) from e
+            raise
+
     @staticmethod
     def _put_local(path: str, data: bytes, if_none_match: bool) -> None:
         os.makedirs(os.path.dirname(path), exist_ok=True)

@@ -196,3 +196,26 @@ def test_background_compaction(spark, tmp_path):
         time.sleep(0.2)
     assert not s.manifests.latest().l0 and [r.key for r in s.scan().collect()] == ["a", "b"]
     s.close()
+
+
+def test_conditional_create_by_rename(spark, tmp_path):
+    """As on file systems that aren't local: a draft is renamed, one of two writers wins, and nobody sees a part."""
+    store = HadoopStore(spark, f"file://{tmp_path}/o")
+    store._local = None
+    store.put("m/1", b"first", if_none_match=True)
+    with pytest.raises(PreconditionError):
+        store.put("m/1", b"second", if_none_match=True)
+    raced, create = [], store._fill
+
+    def slow(out, data):  # another writer commits while this one's draft is written
+        create(out, data)
+        if not raced:
+            raced.append(1)
+            assert store.list("m/") == ["m/1"]
+            HadoopStore(spark, f"file://{tmp_path}/o").put("m/2", b"winner", if_none_match=True)
+
+    store._fill = slow
+    with pytest.raises(PreconditionError):
+        store.put("m/2", b"loser", if_none_match=True)
+    assert store.get("m/2") == b"winner" and store.get("m/1") == b"first" and store.list("m/") == ["m/1", "m/2"]
+    assert not [p for p in (tmp_path / "o/m").iterdir() if "draft" in p.name and not p.name.endswith(".crc")]
