@@ -13,6 +13,7 @@ import corpus_pipeline as p
 from sparkdoc.llm import mixing, sharding, toxicity
 from sparkdoc.llm._text import as_bytes
 from tests.llm.test_decontaminate import brute as contamination
+from tests.llm.test_decontaminate import tokens
 from tests.llm.test_simhash import brute as links
 from tests.llm.test_simhash import fingerprint
 
@@ -67,6 +68,7 @@ def brute(spark, folder: str) -> tuple[Counter, list[int]]:
     domain, steps, scale = mixing.plan(spark.createDataFrame(kept, "doc_id long, text string"), *tables)
     q, _ = domain.posteriors(*as_bytes([d[1] for d in kept]))
     rates = mixing._rates(q, steps) * scale
+    assert np.allclose(rates, own_rates(q, [len(tokens(d[1])) for d in kept], domain.domains), atol=1e-4) and rates.min() > 1 - 1e-9
     copies = [int(np.floor(r + 1e-9)) + (draw(*d) < r - np.floor(r + 1e-9)) for d, r in zip(kept, rates, strict=True)]
     rows = Counter({d: int(n) for d, n in zip(kept, copies, strict=True)})
     groups: Counter = Counter()
@@ -78,9 +80,33 @@ def brute(spark, folder: str) -> tuple[Counter, list[int]]:
     loads = Counter()
     for size, b in zip(sorted(groups.values(), reverse=True), sharding.naive(list(groups.values()), capacity), strict=True):
         loads[b] += size
+    assert sorted(loads.values()) == own_loads(list(groups.values()), capacity)
     return rows, sorted(loads.values())
 
 
+def own_rates(q: np.ndarray, n: list[int], domains: list[str]) -> np.ndarray:
+    """The rates nearest to 1 (by tokens) at which the named domains' expected tokens stand as their targets do, least rate 1: by linear equations."""
+    gram = (q * np.array(n, float)[:, None]).T @ q
+    have, weight = gram.sum(axis=1), np.array([mixing.TARGETS[d] for d in domains])
+    weight = weight / weight.sum()
+    move = np.linalg.solve(gram, have - weight * (have / weight).max())
+    pure = 1 - move
+    assert pure.min() > 0  # so no rate had to be projected
+    return (1 - q @ move) / pure.min()
+
+
+def own_loads(sizes: list[int], capacity: int) -> list[int]:
+    """Each size, the largest first, into the fullest bin that holds it."""
+    loads: list[int] = []
+    for size in sorted(sizes, reverse=True):
+        fits = [b for b, load in enumerate(loads) if load + size <= capacity]
+        if fits:
+            loads[max(fits, key=loads.__getitem__)] += size
+        else:
+            loads.append(size)
+    return sorted(loads)
+
+
 def test_run_matches_brute_force(spark, sf_dir):
     out = p.run(spark, sf_dir)
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "shard", "slot"]
