@@ -76,10 +76,17 @@ def fingerprints(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
+def _text_hash(docs: DataFrame, text_col: str) -> tuple[Column, Column]:
+    """What tells the texts of one id apart: a hash, computed by the JVM, and the length."""
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    return F.xxhash64(text).alias("h"), F.octet_length(text).alias("size")
+
+
 def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): one row for every row of the input."""
+    """(doc_id, h, size, fp): one row for every row of the input, with hash and length of the text."""
     kernel = lambda: lambda data, off: [fingerprints(data, off).view(np.int64)]
-    return map_texts(docs, text_col, {"doc_id": id_col}, [("fp", T.LongType())], kernel)
+    source = docs.select(docs[id_col].alias("doc_id"), *_text_hash(docs, text_col), docs[text_col].alias("text"))
+    return map_texts(source, "text", {c: c for c in ("doc_id", "h", "size")}, [("fp", T.LongType())], kernel)
 
 
 def hex_digits(fp: Column) -> Column:
@@ -251,21 +258,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "n_near", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
-#: Pairs of id and fingerprint that are broadcast to drop their rows (two longs each); more are dropped by a shuffle.
+#: Ids with a text's hash and length that are broadcast to drop their rows (20 bytes each); more are dropped by a shuffle.
 BROADCAST_IDS = 1_000_000
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """``docs`` with one document of each component: that of the smallest doc_id.
 
-    Rows are told apart by id and fingerprint, so an id that occurs with different texts loses only the copies among
+    Rows are told apart by id, hash and length of the text, so an id that occurs with different texts loses only the copies among
     them; where several texts of the kept id lie in one component, that of the smallest fingerprint stays. Rows with
     a null id can't be told apart and stay; of repeated rows of the kept id and fingerprint all stay.
     """
     with Scratch(docs.sparkSession) as scratch:
-        own_id = next(k for k, c in carry(docs).items() if c == "doc_id")
         kept = (F.col("doc_id") == F.col("component_id")) & (F.col("fp") == F.col("keeper"))
-        drop = scratch.keep(_linked(docs, "doc_id", "text", radius, MAX_BUCKET).where(~kept & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(own_id), "fp").distinct(), "drop")
+        gone = _linked(docs, "doc_id", "text", radius, MAX_BUCKET).where(~kept & F.col("doc_id").isNotNull())
+        drop = scratch.keep(gone.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("size").alias("__size")).distinct(), "drop")
         small = drop.count() <= broadcast_ids
-        marked = map_texts(docs, "text", carry(docs), [("fp", T.LongType())], lambda: lambda data, off: [fingerprints(data, off).view(np.int64)])
-        return restore(marked.join(F.broadcast(drop) if small else drop, [own_id, "fp"], "left_anti"), docs)
+        # the fingerprint follows from the text, so a text that goes is known by its hash: it isn't taken again
+        h, size = _text_hash(docs, "text")
+        named = docs.select(*[docs[c].alias(k) for k, c in carry(docs).items()], docs["doc_id"].alias("__id"), h.alias("__h"), size.alias("__size"))
+        left = named.join(F.broadcast(drop) if small else drop, ["__id", "__h", "__size"], "left_anti")
+    return restore(left, docs)
