@@ -124,11 +124,17 @@ def _sum(members: DataFrame, k: int, size: int, part) -> np.ndarray:
         total = np.zeros(size)
         for b in batches:
             total += part(_matrix(b.column(1), k), b.column(0).to_numpy(zero_copy_only=False).astype(np.float64))
-        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["s"])
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["s"])
 
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for b in batches:
+            total += _matrix(b.column(0), size).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["s"])
+
+    # an aggregate a number would be a plan of as many expressions as domains squared
     sums = members.select("n_tokens", "posterior").mapInArrow(run, "s array<double>")
-    row = sums.agg(*[F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(size)]).first()
-    return np.array([x or 0.0 for x in row])
+    return np.array(sums.repartition(1).mapInArrow(add, "s array<double>").first()[0])
 
 
 def _expected(members: DataFrame, steps: np.ndarray, k: int) -> np.ndarray:
