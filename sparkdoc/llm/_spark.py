@@ -216,6 +216,18 @@ def join_counted(left: DataFrame, right: DataFrame, keys: list[str], n_col: str,
     return left.join(F.broadcast(hot), keys).unionByName(rare.join(cold, keys))
 
 
+#: Bytes of equal rows above which they are kept apart, and bytes of such rows that go to one partition.
+BULK, PART = 8 << 20, 32 << 20
+
+
+def apart(bulky: DataFrame, size: int) -> DataFrame:
+    """``bulky`` rows of ``size`` bytes in all, dealt in turn to partitions of about ``PART`` bytes.
+
+    Copies of a long text that lie in a row compress to little, so that a reader takes as many at once as its batch has rows.
+    """
+    return bulky.repartition(max(1, -(-size // PART)))
+
+
 #: Edges that one task may hold for a union-find (16 bytes each); more are joined in rounds.
 LOCAL_EDGES = 1_000_000
 

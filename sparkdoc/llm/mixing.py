@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkdoc.llm._spark import Scratch, carry, map_texts, restore
+from sparkdoc.llm._spark import BULK, Scratch, apart, carry, map_texts, restore
 from sparkdoc.llm._text import word_counts
 from sparkdoc.llm.classify import Sparse, adam, features_of, labelled, presence, screen, softmax, vocabulary_of
 
@@ -267,7 +267,15 @@ def mix(docs: DataFrame, labelled_docs: DataFrame, labels: DataFrame, domain_col
 
 
 def remix(docs: DataFrame, labelled_docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """``docs`` with each row as often as its copies say."""
-    rated = rate(docs, *plan(docs, labelled_docs, labels, **options), keep=carry(docs))
-    copied = rated.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
-    return restore(copied, docs)
+    """``docs`` with each row as often as its copies say; the copies of a long text go to several partitions."""
+    model, steps, scale = plan(docs, labelled_docs, labels, **options)
+    most = float(np.floor(_rates(np.eye(len(model.domains)), steps).max() * scale) + 1)  # a rate is convex in the posterior: no document's is above the purest ones'
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    bulky = size * F.lit(most) > BULK
+    rated = lambda rows: rate(rows, model, steps, scale, keep=carry(docs))
+    copied = lambda rows: restore(rated(rows).withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))), docs)
+    if docs.where(bulky).select(F.lit(1)).isEmpty():
+        return copied(docs)
+    text = next(k for k, c in carry(docs).items() if c == "text")
+    far = rated(docs.where(bulky)).agg(F.sum(F.col("copies") * F.octet_length(text))).first()[0]
+    return copied(docs.where(~bulky)).unionByName(apart(copied(docs.where(bulky)), far))

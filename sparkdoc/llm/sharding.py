@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkdoc.llm._spark import Scratch, carry, join_counted
+from sparkdoc.llm._spark import BULK, Scratch, apart, carry, join_counted
 
 
 class CapacityTree:
@@ -215,12 +215,21 @@ def shard(docs: DataFrame, shards: int = 8, capacity: int | None = None, id_col:
 
         placed = scratch.keep(groups.select("pid", "idx", "digest", "n").mapInArrow(place, "digest binary, n long, shard int"), "placed")
         total = placed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        joined = join_counted(narrow, placed, ["digest"], "n", total).drop("digest").withColumnRenamed("n", "group_rows")
-        return _slots(joined, scratch)
+        if not carried:
+            return _slots(join_counted(narrow, placed, ["digest"], "n", total).drop("digest").withColumnRenamed("n", "group_rows"), scratch)
+        bulky = groups.where((F.col("n") > 1) & (F.col("weight") > BULK))
+        far = bulky.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
+        if far:  # equal long texts; at most one group for each BULK bytes of the input
+            apart_from = F.broadcast(bulky.select("digest"))
+            rest = join_counted(narrow.join(apart_from, "digest", "left_anti"), placed.join(apart_from, "digest", "left_anti"), ["digest"], "n", total)
+            joined = rest.unionByName(apart(narrow.join(F.broadcast(placed.join(apart_from, "digest")), "digest"), far))
+        else:
+            joined = join_counted(narrow, placed, ["digest"], "n", total)
+        return _slots(joined.drop("digest").withColumnRenamed("n", "group_rows"), scratch, far)
 
 
-def _slots(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """Number the rows of each shard from 0: each task counts its own, then offsets by (task, shard) are added."""
+def _slots(rows: DataFrame, scratch: Scratch, far: int = 0) -> DataFrame:
+    """Number the rows of each shard from 0: each task counts its own, then offsets by (task, shard) are added. ``far``: bytes of rows that are kept apart."""
     from pyspark.sql import types as T
 
     at = rows.columns.index("shard")
@@ -246,7 +255,9 @@ def _slots(rows: DataFrame, scratch: Scratch) -> DataFrame:
 
     before = F.sum("rows_here").over(Window.partitionBy("shard").orderBy("pid")) - F.col("rows_here")
     offsets = sizes.select("shard", "pid", before.alias("before"))  # shards times tasks: no more than that
-    joined = written.join(F.broadcast(offsets), ["shard", "pid"])
+    bulky = (F.col("group_rows") > 1) & (F.col("size") * F.col("group_rows") > BULK)
+    spread = written.where(~bulky).unionByName(apart(written.where(bulky), far)) if far else written
+    joined = spread.join(F.broadcast(offsets), ["shard", "pid"])
     kept = [c for c in rows.columns if c.startswith("__c")]
     return joined.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("idx")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "group_rows", *kept)
 

@@ -8,8 +8,11 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkdoc.llm import mixing as m
+from sparkdoc.llm import sharding
+from sparkdoc.llm._spark import PART
 from sparkdoc.llm._text import as_bytes
 
 STEMS = {"en": "the of and to".split(), "de": "der und ein zu".split(), "fr": "le et un que".split()}
@@ -172,3 +175,14 @@ def test_odd_rows(spark):
     assert out.columns == docs.columns and out.count() == sum(g.copies for g in got)
     assert {r.copies for r in m.mix(docs, docs, labels.limit(0)).collect()} == {1}
     assert m.mix(docs.limit(0), docs, labels).count() == 0
+
+
+def test_copies_of_a_long_text_lie_apart(spark):
+    """Twenty copies of 2 MB in one partition compress to little, and a reader takes them all at once."""
+    docs = spark.createDataFrame([(1, "wort " * 400_000, "de"), (2, "kurz", "de")], "doc_id long, text string, lang string").coalesce(1)
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    mixed = m.remix(docs, docs, labels, targets={"de": 1.0}, total=20 * 400_001)
+    for made in (mixed, sharding.assign(mixed, 2)):
+        parts = [r["count"] for r in made.where("doc_id = 1").groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(parts) == 20 and max(parts) * 2_000_000 <= PART
+        assert made.where("doc_id = 2 and text = 'kurz'").count() == 20
