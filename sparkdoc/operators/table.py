@@ -198,7 +198,7 @@ class DocumentTable:
         kinds = {n: f.type for n, f in self._schema.fields.items()}
         json = lambda n: F.get_json_object("attributes", f"$['{n}']")
         values = {n: F.from_json(json(n), "array<string>") if t is FieldType.STRINGS else json(n) for n, t in kinds.items()}
-        made = df.withColumn("__vector", embed(D.embedding_text(F.col("content"), values, kinds)))
+        made = df.withColumn("__vector", embed(D.embedding_text(F.nullif(F.col("content"), F.lit("")), values, kinds)))
         old = {c: F.col(c) if c in df.columns else F.lit(None) for c in ("embedding", "embedding_model")}
         return made.withColumns({"embedding": F.coalesce("__vector", old["embedding"].cast("array<float>")), "embedding_model": F.when(F.col("__vector").isNotNull(), model).otherwise(old["embedding_model"].cast("string"))}).drop("__vector")
 

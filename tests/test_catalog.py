@@ -46,6 +46,24 @@ def test_matches_sql(spark, duck, name):
     assert got == sorted((tuple(plain(r[i]) for i in at) for r in answer.fetchall()), key=str)
 
 
+@needs_data
+@pytest.mark.parametrize("name", ["doc_embedding_text", "doc_upsert_frame", "doc_list_page", "doc_delete", "doc_embed_frame"])
+def test_empty_and_absent_texts_match_sql(spark, duck, name, tmp_path):
+    """An empty text has a length and a line of its own; one that is null has neither."""
+    for t in TABLES:
+        if t != "documents":
+            os.symlink(f"{DATA}/{t}.parquet", tmp_path / f"{t}.parquet")
+    odd = f"select doc_id, case doc_id % 5 when 0 then '' when 1 then null else text end as text, lang, source, n_chars from '{DATA}/documents.parquet'"
+    duck.sql(f"copy ({odd}) to '{tmp_path}/documents.parquet' (format parquet)")
+    df = catalog.QUERIES[name](spark, str(tmp_path))
+    columns = sorted(df.columns)
+    query = f"with documents as (from '{tmp_path}/documents.parquet'), " + catalog.SQL[name].removeprefix("with ") if catalog.SQL[name].startswith("with ") else f"with documents as (from '{tmp_path}/documents.parquet') {catalog.SQL[name]}"
+    answer = duck.sql(query)
+    at = [answer.columns.index(c) for c in columns]
+    rows = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=str)
+    assert rows == sorted((tuple(plain(r[i]) for i in at) for r in answer.fetchall()), key=str)
+
+
 def test_every_query_has_sql():
     assert set(catalog.QUERIES) == set(catalog.SQL)
 
