@@ -42,53 +42,136 @@ def projection(docs: DataFrame, id_col: str, fields: dict[str, str]) -> DataFram
     return docs.select(docs[id_col].alias("id"), F.explode(parts).alias("p")).select("id", "p.field", "p.text").where("text is not null and text <> ''")
 
 
-#: Words that the kernel sorts at a time.
-CHUNK_WORDS = 1 << 21
-_POSTING = "field string, term string, tf long, dl long, pos array<int>"
+#: Words that a kernel sorts at a time: to count them in their rows, and to pack them for an index.
+CHUNK_WORDS, PACKED_WORDS = 1 << 18, 1 << 21
+_POSTING = "field string, term string, tf long, dl long"
+_PACKED = "chunk long, field string, term string"
 
 
-def postings(docs: DataFrame, id_col: str, fields: dict[str, str], headed: bool = False) -> DataFrame:
-    """(id, field, term, tf, dl, pos): how often a term stands in a field and where, and how many terms the field has.
+def _words(docs: DataFrame, id_col: str, fields: dict[str, str]) -> DataFrame:
+    return docs.select(docs[id_col].alias("id"), *[tokens(docs[c].cast("string")).alias(f"w{k}") for k, c in enumerate(fields.values())])
 
-    A row's terms are counted inside the row, so nothing is shuffled. ``headed`` adds a row with a blank term for each field that has terms.
+
+def _chunks(batches: Iterator[pa.RecordBatch], names: list[str], most: int) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray, str]]:
+    """(ids, words, words a row, field) of about ``most`` words each; a longer row is a chunk of its own."""
+    for batch in batches:
+        for k, name in enumerate(names):
+            length = pc.fill_null(pc.list_value_length(batch.column(k + 1)), 0).to_numpy().astype(np.int64)
+            end = np.cumsum(length)
+            i = 0
+            while i < len(end):
+                j = max(i + 1, int(np.searchsorted(end, end[i] - length[i] + most, side="right")))
+                if length[i:j].any():
+                    yield batch.column(0).slice(i, j - i), batch.column(k + 1).slice(i, j - i), length[i:j], name
+                i = j
+
+
+def postings(docs: DataFrame, id_col: str, fields: dict[str, str], places: bool = True) -> DataFrame:
+    """(id, field, term, tf, dl, pos): how often a term stands in a field and where (unless not asked for), and how many terms the field has.
+
+    A row's terms are counted inside the row, so nothing is shuffled.
     """
-    names = list(fields)
-    source = docs.select(docs[id_col].alias("id"), *[tokens(docs[c].cast("string")).alias(f"w{k}") for k, c in enumerate(fields.values())])
-    schema = T.StructType([source.schema["id"], *T._parse_datatype_string(_POSTING).fields])
+    names, source = list(fields), _words(docs, id_col, fields)
+    schema = T.StructType([source.schema["id"], *T._parse_datatype_string(_POSTING + ", pos array<int>" * places).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, name in enumerate(names):
-                length = pc.fill_null(pc.list_value_length(batch.column(k + 1)), 0).to_numpy().astype(np.int64)
-                end = np.cumsum(length)
-                i = 0
-                while i < len(end):
-                    j = max(i + 1, int(np.searchsorted(end, end[i] - length[i] + CHUNK_WORDS, side="right")))
-                    if made := _count(batch.column(0).slice(i, j - i), batch.column(k + 1).slice(i, j - i), length[i:j], name, headed, schema.names):
-                        yield made
-                    i = j
+        for ids, words, length, name in _chunks(batches, names, CHUNK_WORDS):
+            yield _count(ids, words, length, name, places, schema.names)
 
     return source.mapInArrow(run, schema)
 
 
-def _count(ids: pa.Array, words: pa.Array, length: np.ndarray, name: str, headed: bool, columns: list[str]) -> pa.RecordBatch | None:
+def _count(ids: pa.Array, words: pa.Array, length: np.ndarray, name: str, places: bool, columns: list[str]) -> pa.RecordBatch:
     """Run lengths of the sorted (row, term) pairs of some rows."""
-    if not length.sum():
-        return None
     coded = words.flatten().dictionary_encode()
     row = np.repeat(np.arange(len(length)), length)
-    order = np.argsort(row * len(coded.dictionary) + coded.indices.to_numpy(), kind="stable")
-    code, row = coded.indices.to_numpy()[order], row[order]
-    place = (np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length))[order]
-    begin = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (code[1:] != code[:-1])]))
-    tf = np.diff(np.append(begin, len(row)))
-    term, owner, cut = coded.dictionary.take(pa.array(code[begin])), row[begin], np.append(begin, len(row))
-    if headed:
-        some = np.flatnonzero(length)
-        term, owner, tf = pa.concat_arrays([pa.array([""] * len(some), term.type), term]), np.concatenate([some, owner]), np.concatenate([np.zeros(len(some), np.int64), tf])
-        cut = np.concatenate([np.zeros(len(some), np.int64), cut])
-    pos = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(place, pa.int32()))
-    return pa.RecordBatch.from_arrays([ids.take(pa.array(owner)), pa.array([name] * len(owner), pa.string()), term, pa.array(tf), pa.array(length[owner]), pos], names=columns)
+    key = row * len(coded.dictionary) + coded.indices.to_numpy()
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    owner, code = np.divmod(key[begin], len(coded.dictionary))
+    made = [ids.take(pa.array(owner)), pa.array([name]).take(pa.array(np.zeros(len(owner), np.int8))), coded.dictionary.take(pa.array(code)), pa.array(np.diff(np.append(begin, len(row)))), pa.array(length[owner])]
+    if places:
+        place = (np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length))[order]
+        made.append(pa.ListArray.from_arrays(pa.array(np.append(begin, len(row)), pa.int32()), pa.array(place, pa.int32())))
+    return pa.RecordBatch.from_arrays(made, names=columns)
+
+
+def packed(docs: DataFrame, id_col: str, fields: dict[str, str], generation: int = 0) -> DataFrame:
+    """(chunk, field, term, ids, tf, dl, pos): the postings of each term and field in a chunk of rows; ``pos`` holds the places of all, ``tf`` of them each.
+
+    A blank term has the rows of a chunk that have terms. No chunk has the number of one of another generation.
+    """
+    names, source = list(fields), _words(docs, id_col, fields)
+    schema = T.StructType([*T._parse_datatype_string(_PACKED).fields, T.StructField("ids", T.ArrayType(source.schema["id"].dataType)), *T._parse_datatype_string("tf array<int>, dl array<int>, pos array<int>").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        chunk = generation << 44 | TaskContext.get().partitionId() << 24
+        for ids, words, length, name in _chunks(batches, names, PACKED_WORDS):
+            yield _pack(ids, words, length, name, chunk, schema.names)
+            chunk += 1
+
+    return source.mapInArrow(run, schema)
+
+
+def _lists(cut: np.ndarray, values: pa.Array | np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(cut, pa.int32()), values if isinstance(values, pa.Array) else pa.array(values, pa.int32()))
+
+
+def _pack(ids: pa.Array, words: pa.Array, length: np.ndarray, name: str, chunk: int, columns: list[str]) -> pa.RecordBatch:
+    """Words sorted by term, and cut into rows and terms; a row for the blank term goes before."""
+    coded = words.flatten().dictionary_encode()
+    code = coded.indices.to_numpy()
+    order = np.argsort(code.astype(np.uint16) if len(coded.dictionary) <= 1 << 16 else code, kind="stable")  # words come row by row
+    row = np.repeat(np.arange(len(length), dtype=np.int32), length)[order]
+    place = (np.arange(len(code)) - np.repeat(np.cumsum(length) - length, length)).astype(np.int32)[order]
+    code = code[order]
+    next_term = np.concatenate([[True], code[1:] != code[:-1]])
+    begin = np.flatnonzero(next_term | np.concatenate([[True], row[1:] != row[:-1]]))
+    tf, owner, some = np.diff(np.append(begin, len(row))), row[begin], np.flatnonzero(length)
+    terms = np.flatnonzero(next_term)
+    cut = np.concatenate([[0], len(some) + np.append(np.searchsorted(begin, terms), len(begin))])
+    whose = np.concatenate([some, owner])
+    n = len(terms) + 1
+    term = pa.concat_arrays([pa.array([""], coded.dictionary.type), coded.dictionary.take(pa.array(code[terms]))])
+    same = lambda x: x.take(pa.array(np.zeros(n, np.int8)))
+    return pa.RecordBatch.from_arrays(
+        [same(pa.array([chunk], pa.int64())), same(pa.array([name])), term, _lists(cut, ids.take(pa.array(whose))), _lists(cut, np.concatenate([np.zeros(len(some), np.int64), tf])), _lists(cut, length[whose]), _lists(np.concatenate([[0], terms, [len(row)]]), place)],
+        names=columns,
+    )
+
+
+def _unpacked(rows: DataFrame, places: bool = False) -> DataFrame:
+    """(id, field, term, tf, dl) of packed postings, and pos if asked for."""
+    schema = T.StructType([T.StructField("id", rows.schema["ids"].dataType.elementType), *T._parse_datatype_string(_POSTING + ", pos array<int>" * places).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = pc.list_value_length(b.column(2)).to_numpy(zero_copy_only=False)
+            owner, tf = pa.array(np.repeat(np.arange(len(n)), n)), b.column(3).flatten()
+            made = [b.column(2).flatten(), b.column(0).take(owner), b.column(1).take(owner), tf.cast(pa.int64()), b.column(4).flatten().cast(pa.int64())]
+            if places:
+                made.append(_lists(np.concatenate([[0], np.cumsum(tf.to_numpy())]), b.column(5).flatten()))
+            yield pa.RecordBatch.from_arrays(made, names=schema.names)
+
+    return rows.select("field", "term", "ids", "tf", "dl", *["pos"] * places).mapInArrow(run, schema)
+
+
+def _without(left: pa.Table, right: pa.Table) -> pa.Table:
+    """A chunk's packed postings without those of the ids of ``right``."""
+    if not right.num_rows or not left.num_rows:
+        return left
+    ids, tf, dl, pos = (left.column(c).combine_chunks() for c in ("ids", "tf", "dl", "pos"))
+    cuts = lambda x: np.concatenate([[0], np.cumsum(pc.list_value_length(x).to_numpy(zero_copy_only=False))])
+    before = lambda kept: np.concatenate([[0], np.cumsum(kept)])
+    stays = pc.invert(pc.is_in(ids.flatten(), value_set=right.column("id").combine_chunks()))
+    kept = stays.to_numpy(zero_copy_only=False)
+    placed = np.repeat(kept, tf.flatten().to_numpy())
+    cut, at = before(kept)[cuts(ids)], before(placed)[cuts(pos)]
+    made = [left.column(c) for c in ("chunk", "field", "term")] + [_lists(cut, x.flatten().filter(stays)) for x in (ids, tf, dl)] + [_lists(at, pos.flatten().filter(pa.array(placed)))]
+    return pa.table(made, names=left.column_names).filter(pa.array(np.diff(cut) > 0))
 
 
 @dataclass(frozen=True)
@@ -211,13 +294,19 @@ class PostingsIndex:
         """Documents that have terms in a field."""
         return self._state()["fields"].get(field, [0, 0])[0]
 
-    def _rows(self, state: dict, where: Column) -> DataFrame:
-        """Rows that count, of those that ``where`` lets through."""
-        read = lambda g: self.spark.read.parquet(self.objects.uri(f"{self.name}/g{g}/postings")).where(where)
+    def _packed(self, g: int) -> DataFrame:
+        return self.spark.read.parquet(self.objects.uri(f"{self.name}/g{g}/postings"))
+
+    def _changed(self, g: int) -> DataFrame:
+        return self.spark.read.parquet(self.objects.uri(f"{self.name}/g{g}/changed"))
+
+    def _rows(self, state: dict, where: Column, places: bool = False) -> DataFrame:
+        """Postings that count, of the terms that ``where`` lets through."""
+        read = lambda g: _unpacked(self._packed(g).where(where), places)
         out = None
         for g in state["generations"]:
             if out is not None:
-                out = out.join(self.spark.read.parquet(self.objects.uri(f"{self.name}/g{g}/changed")), "id", "left_anti")
+                out = out.join(self._changed(g), "id", "left_anti")
             out = read(g) if out is None else out.unionByName(read(g))
         return out
 
@@ -229,7 +318,7 @@ class PostingsIndex:
         """Index ``docs`` from scratch; what was there stays readable until the new list of generations is put."""
         old = self._state()
         g = old["next"]
-        self._write(postings(docs, id_col, fields, headed=True), docs.select(docs[id_col].alias("id")).limit(0), g)
+        self._write(packed(docs, id_col, fields, g), docs.select(docs[id_col].alias("id")).limit(0), g)
         self._save(next=g + 1, generations=[g], fields=self._sums([g], fields, {}))
         self._drop(old["generations"])
 
@@ -239,9 +328,8 @@ class PostingsIndex:
         if not old["generations"]:
             return self.build(docs, id_col, fields)
         g = old["next"]
-        self._write(postings(docs, id_col, fields, headed=True), changed.select("id").distinct(), g)
-        named = self.spark.read.parquet(self.objects.uri(f"{self.name}/g{g}/changed"))
-        gone = self._rows(old, F.col("term") == "").join(named, "id", "left_semi").groupBy("field").agg(F.count("*"), F.sum("dl")).collect()
+        self._write(packed(docs, id_col, fields, g), changed.select("id").distinct(), g)
+        gone = self._rows(old, F.col("term") == "").join(self._changed(g), "id", "left_semi").groupBy("field").agg(F.count("*"), F.sum("dl")).collect()
         sums = {f: [n, size] for f, (n, size) in old["fields"].items()}
         for f, n, size in gone:
             sums[f] = [sums[f][0] - n, sums[f][1] - size]
@@ -250,25 +338,33 @@ class PostingsIndex:
             self.merge()
 
     def merge(self) -> None:
-        """Rewrite all generations as one."""
+        """Rewrite all generations as one; chunks meet the ids that later generations changed, and lose their postings."""
         old = self._state()
-        g = old["next"]
-        rows = self._rows(old, F.lit(True))
-        self._write(rows, rows.select("id").limit(0), g)
+        g, out, later = old["next"], None, None
+        for k in reversed(old["generations"]):
+            rows = self._packed(k)
+            changed = self._changed(k)
+            if later is not None:
+                heads = self._packed(k).where(F.col("term") == "").select("chunk", F.explode("ids").alias("id"))
+                gone = heads.join(later, "id", "left_semi").distinct().select(F.col("chunk").alias("of"), "id")
+                rows = rows.groupBy("chunk").cogroup(gone.groupBy("of")).applyInArrow(_without, rows.schema)
+            out = rows if out is None else out.unionByName(rows)
+            later = changed if later is None else later.unionByName(changed)
+        self._write(out, changed.limit(0), g)
         self._save(next=g + 1, generations=[g], fields=old["fields"])
         self._drop(old["generations"])
 
     def _write(self, rows: DataFrame, changed: DataFrame, g: int) -> None:
         folder = self.objects.uri(f"{self.name}/g{g}")
-        # by term and id, so that a term of all documents spans files
-        rows.repartitionByRange("term", "id").sortWithinPartitions("term", "field", "id").write.mode("overwrite").parquet(f"{folder}/postings")
+        # each file is sorted by term: a query reads the pages of its terms in all files, and nothing is shuffled
+        rows.sortWithinPartitions("term", "field").write.mode("overwrite").parquet(f"{folder}/postings")
         changed.write.mode("overwrite").parquet(f"{folder}/changed")
 
     def _sums(self, generations: list[int], fields: Iterable[str], sums: dict[str, list[int]]) -> dict[str, list[int]]:
         """Documents and terms of each field, those of new generations added."""
         out = {f: sums.get(f, [0, 0]) for f in {*fields, *sums}}
         for g in generations:
-            heads = self.spark.read.parquet(self.objects.uri(f"{self.name}/g{g}/postings")).where("term = ''")
+            heads = _unpacked(self._packed(g).where("term = ''"))
             for f, n, size in heads.groupBy("field").agg(F.count("*"), F.sum("dl")).collect():  # a row a field
                 out[f] = [out[f][0] + n, out[f][1] + size]
         return out
@@ -294,11 +390,11 @@ class PostingsIndex:
         wanted = sorted({t for _, c, over in kept if over for t in c.terms})
         if not (wanted and state["generations"]):
             return self.spark.createDataFrame([], "id string, score double")
-        rows = self._rows(state, F.col("term").isin(wanted)).select("id", "field", "term", "tf", "dl", "pos")
         of = lambda f, t, c: F.max(F.when((F.col("field") == f) & (F.col("term") == t), F.col(c)))
         looked = {(f, t) for _, c, over in kept for f in over for t in c.terms}
         phrased = {(f, t) for _, c, over in kept if len(c.terms) > 1 for f in over for t in c.terms}
         number = {t: k for k, t in enumerate(wanted)}
+        rows = self._rows(state, F.col("term").isin(wanted), bool(phrased))
         grouped = rows.groupBy("id").agg(
             *[F.coalesce(F.max(F.when(F.col("field") == f, F.col("dl"))), F.lit(0)).alias(f"n_{f}") for f in sorted(state["fields"])],
             *[F.coalesce(of(f, t, "tf"), F.lit(0)).alias(f"f_{number[t]}_{f}") for f, t in sorted(looked)],

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,6 +152,25 @@ def test_text_ranking_and_stored_index(spark, tmp_path):
     assert stored == {r.id: round(r.score, 9) for r in X.search(docs, "fox dog").collect()}
 
 
+def test_packed_postings(spark):
+    """A row a term and chunk holds what the postings hold, and packing shuffles nothing."""
+    texts = [("1", "a a b a", "x"), ("2", "b a", None), ("3", "", "y"), ("4", None, None), (None, "c", "x")]
+    docs, fields = spark.createDataFrame(texts, "id string, content string, more string"), {"content": "content", "attr_more": "more"}
+    packed = X.packed(docs, "id", fields, 3)
+    assert "Exchange" not in packed._jdf.queryExecution().executedPlan().toString()
+    assert packed.groupBy("chunk", "field", "term").count().where("count > 1").isEmpty()
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(X._unpacked(packed, True).where("term <> ''")) == rows(X.postings(docs, "id", fields))
+    assert rows(X._unpacked(packed).where("term = ''").select("id", "field", "dl")) == rows(X.postings(docs, "id", fields, places=False).select("id", "field", "dl").distinct())
+
+
+def test_postings_are_counted_in_small_chunks():
+    words = pa.array([[f"w{k}" for k in range(60_000)]] * 9 + [None, ["x"] * (X.CHUNK_WORDS + 1)])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(11)), words], names=["id", "w0"])
+    sizes = [(len(ids), int(length.sum())) for ids, _, length, _ in X._chunks(iter([batch]), ["content"], X.CHUNK_WORDS)]
+    assert sum(n for _, n in sizes) == 540_000 + X.CHUNK_WORDS + 1 and all(n <= 1 << 18 or rows == 1 for rows, n in sizes)
+
+
 def test_index_generations(spark, tmp_path):
     """Changes in generations, their merge, phrases that overlap themselves, and the plan of a query."""
     texts = {"1": "a a a b", "2": "b a", "3": "the a a fox", "4": "", "5": None}
