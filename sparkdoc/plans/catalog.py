@@ -212,7 +212,7 @@ add(
 FIELDS = {"content": "content", "attr_lang": "lang"}
 WORDS = "words as (select id, list_filter(string_split_regex(lower(content), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') as w, [lang] as l from docs)"
 add("fts_tokens", lambda s, d: t.documents(s, d).select("id", F.size(X.tokens(F.col("content"))).cast("long").alias("terms")), f"with {DOCS}, {WORDS} select id, len(w) as terms from words")
-add("fts_postings", lambda s, d: X.postings(t.documents(s, d), "id", {"content": "content"}).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")), f"with {DOCS}, {WORDS}, p as (select id, unnest(w) as term from words) select term, count(distinct id) as df, count(*) as cf from p group by term")
+add("fts_postings", lambda s, d: X.postings(t.documents(s, d), "id", {"content": "content"}, places=False).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")), f"with {DOCS}, {WORDS}, p as (select id, unnest(w) as term from words) select term, count(distinct id) as df, count(*) as cf from p group by term")
 add("fts_term", lambda s, d: X.search(t.documents(s, d), "the", fields=FIELDS).select("id"), f"with {DOCS}, {WORDS} select id from words where list_contains(w, 'the')")
 add("fts_field", lambda s, d: X.search(t.documents(s, d), "attr_lang:de", fields=FIELDS).select("id"), f"with {DOCS}, {WORDS} select id from words where list_contains(l, 'de')")
 add("fts_unmapped", lambda s, d: X.total(X.search(t.documents(s, d), "attr_source:src1", fields=FIELDS)), "select 0::bigint as total")
